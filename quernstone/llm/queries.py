@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontamination, near_dup, quality, sharding, token_files
+from quernstone.llm import decontamination, near_dup, quality, repeats, sharding, token_files
 from quernstone.llm.shared import ship
 
 
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=50, stored=True)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontamination.digest(hits).drop("text_hash", "spans")
@@ -45,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
+    "op6_repeats": op6_repeats,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,

@@ -53,6 +53,13 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def open_folder(uri: str):
+    """A file system and the path in it, as a Python worker sees a folder of the shared one."""
+    import pyarrow.fs
+
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors' Python workers, once per context."""
     sc = spark.sparkContext

@@ -24,17 +24,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import new_path
+from quernstone.llm.shared import new_path, open_folder
 from quernstone.llm.tokens import encoder
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder)
-
-
 def _put(folder: str, name: str, chunks: list) -> None:
     """Write under a name of its own, then rename: a repeated attempt writes the same bytes."""
-    fs, root = _open(folder)
+    fs, root = open_folder(folder)
     fs.create_dir(root, recursive=True)
     tmp = f"{root}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(tmp) as f:
@@ -45,7 +41,7 @@ def _put(folder: str, name: str, chunks: list) -> None:
 
 def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
     """A file's numbers: memory-mapped where it is a local path, else read."""
-    fs, root = _open(folder)
+    fs, root = open_folder(folder)
     if isinstance(fs, pafs.LocalFileSystem):
         path = f"{root}/{name}"
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
@@ -72,7 +68,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, end_
 
         part = TaskContext.get().partitionId()
         encode = encoder(tokenizer, end_id)
-        fs, root = _open(folder)
+        fs, root = open_folder(folder)
         fs.create_dir(root, recursive=True)
         name = f"tokens-{part:05d}.bin"
         tmp = f"{root}/.{name}-{uuid.uuid4().hex}"
