@@ -9,6 +9,8 @@ cut at spaces could differ from the tokenizer's own is encoded as a whole.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import os
 from array import array
 
@@ -56,17 +58,27 @@ class Encoder:
     def _learn(self, new: set) -> None:
         """Put pieces into the memo; None for one that may reach over its end."""
         memo, older = self.memo, self.older
+        known = new & older.keys()
+        memo.update((p, older[p]) for p in known)
+        pieces = list(new - known)
+        if not pieces:
+            return
+        texts = pieces if self.spaced else b" ".join(pieces).decode().split(" ")
+        # Letters only: cut where the tokenizer cuts.  Most pieces are of this kind.
+        plain = list(map(str.isalpha, texts))
+        if not self.spaced:
+            plain = list(map(operator.and_, plain, map(str.isalpha, map(str.lower, texts))))
+        words, keys = list(itertools.compress(texts, plain)), list(itertools.compress(pieces, plain))
+        for at in range(0, len(words), TOGETHER):
+            memo.update(zip(keys[at : at + TOGETHER], self._words(words[at : at + TOGETHER], " ")))
         inner: list[tuple] = []
         starts: list[tuple] = []
         others: list[tuple] = []
-        for p in new:
-            if p in older:
-                memo[p] = older[p]
-                continue
-            text = p if self.spaced else p.decode()
+        odd = list(map(operator.not_, plain))
+        for p, text in zip(itertools.compress(pieces, odd), itertools.compress(texts, odd)):
             mark = text[-1:] if text[-1:] in (".", ",") else ""
             stem = text[:-1] if mark else text
-            # Letters, or letters and one mark: cut where the tokenizer cuts.
+            # Letters and one mark.
             if stem.isalpha() and (self.spaced or stem.lower().isalpha()):
                 inner.append((p, stem, mark))
             elif not self.spaced:
