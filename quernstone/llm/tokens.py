@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Pieces remembered by a worker; beyond it only those used since the last turn stay.
-MEMO = 300_000
+MEMO = 800_000
 #: Words encoded as one text.
 TOGETHER = 4000
 
