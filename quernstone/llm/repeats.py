@@ -40,9 +40,9 @@ from quernstone.llm.shared import new_path, open_folder, written
 from quernstone.llm.shingles import ODD, mix
 from quernstone.llm.suffix import permuted_prefixes, suffix_array
 
-GRAM = 20
+GRAM = 24
 #: Bytes of text whose anchors travel together.
-CHUNK = 8 << 20
+CHUNK = 1 << 20
 #: Occurrences of an anchor from which its windows are dealt one by one.
 HOT = 4096
 #: Bytes of anchors in a bucket, and of segments in a shard, aimed at.
@@ -127,7 +127,7 @@ def _place() -> int:
 
 
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
-    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1).cast(pa.large_binary())]
+    return [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], copies: str, length: int) -> Iterator[Chunk]:
@@ -172,18 +172,18 @@ def _anchors(texts: DataFrame, copies: str, length: int, buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _place()
         for number, chunk in enumerate(_chunks(batches, copies, length)):
-            bucket = ((chunk.key >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
+            bucket = (chunk.key >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used, cuts = np.unique(bucket[order], return_index=True)
             low = chunk.key & np.uint64((1 << 48) - 1)
             packed = []
-            for b in range(buckets):
-                mine = order[cuts[b] : cuts[b + 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                mine = order[a:b]
                 page, rest = np.divmod(mine, 1 << 16)
                 pages = np.bincount(page, minlength=(len(chunk.key) >> 16) + 1).astype("<i4")  # entries of each run of 65,536 anchors
                 packed.append(len(pages).to_bytes(4, "little") + pages.tobytes() + (low[mine] << np.uint64(16) | rest.astype(np.uint64)).tobytes())
-            same = lambda x: pa.array(np.full(buckets, x))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), same(part), same(number), same(len(chunk.key)), pa.array(packed, pa.binary())], ["bucket", "part", "chunk", "count", "packed"])
+            same = lambda x: pa.array(np.full(len(used), x))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), same(part), same(number), same(len(chunk.key)), pa.array(packed, pa.binary())], ["bucket", "part", "chunk", "count", "packed"])
 
     return texts.mapInArrow(run, "bucket long, part long, chunk long, count long, packed binary")
 
@@ -289,12 +289,11 @@ def _shard(length: int):
         letters = raw.astype(np.uint16) + 1
         letters[ends[:-1]] = 0  # no window reaches over the end of a segment
         array = suffix_array(letters, 257, length)
-        equal = permuted_prefixes(raw, array, length)[array] >= length
-        piece = np.searchsorted(ends, array, side="right")
-        whole = array + length <= ends[piece]
-        equal[1:] &= whole[1:] & whole[:-1]
+        owner = np.repeat(np.arange(len(pieces)), size + 1)[: len(raw)]
+        whole = np.arange(len(raw)) + length <= ends[owner]
+        equal = permuted_prefixes(raw, array, length, whole)[array] >= length
         groups = np.flatnonzero(~equal)
-        smallest = np.minimum.reduceat(least[piece], groups)
+        smallest = np.minimum.reduceat(least[owner[array]], groups)
         holder = np.empty(len(raw), np.int64)
         holder[array] = np.repeat(smallest, np.diff(np.append(groups, len(array))))
         count = size[which] - length + 1
@@ -398,7 +397,7 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, with_text: bool =
         repeated = known.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k1", "k2", "first")
         copies = _by_part(known.join(repeated, ["k1", "k2"]).where("id > first").select("part", "row"), "copies")
 
-        buckets = int(min(30_000, max(8, total // (2 * BUCKET_BYTES))))  # an anchor takes 8 bytes for 16 of text, about
+        buckets = int(max(8, total // (2 * BUCKET_BYTES)))  # an anchor takes 8 bytes for 16 of text, about
         dealt = _anchors(texts, copies, length, buckets).groupBy("bucket")
         recurring = _by_part(dealt.applyInArrow(_recurring, "part long, chunk long, count long, places binary, hot binary"), "recurring")
 

@@ -143,10 +143,11 @@ def suffix_array(text: np.ndarray, letters: int, depth: int | None = None) -> np
     return induce(text, smaller, order, letters)[1:]
 
 
-def permuted_prefixes(raw: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
+def permuted_prefixes(raw: np.ndarray, array: np.ndarray, most: int, among: np.ndarray | None = None) -> np.ndarray:
     """For each position, the common prefix, up to ``most``, with the suffix before it in the array.
 
-    Compared in text order, eight bytes at a time.  ``raw``: the bytes.
+    Compared in text order, eight bytes at a time.  ``raw``: the bytes.  With
+    ``among``, a mask, other positions count as having nothing in common.
     """
     n = len(raw)
     previous = np.full(n, -1, np.int64)
@@ -154,7 +155,7 @@ def permuted_prefixes(raw: np.ndarray, array: np.ndarray, most: int) -> np.ndarr
     padded = np.concatenate((raw, np.zeros(most + 8, np.uint8)))
     words = np.ndarray((n + most,), np.uint64, padded, strides=(1,))
     out = np.zeros(n, np.int32)
-    live = np.flatnonzero(previous >= 0)
+    live = np.flatnonzero(previous >= 0 if among is None else among & (previous >= 0) & among[previous])
     for o in range(0, most, 8):
         a, b = live + o, previous[live] + o
         inside = (a < n) & (b < n)
