@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontamination, line_dedup, near_dup, packing, quality, repeats, sharding, token_files
+from quernstone.llm import decontamination, language, line_dedup, near_dup, packing, quality, repeats, sharding, token_files
 from quernstone.llm.shared import ship
 
 
@@ -33,6 +33,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(_table(spark, sf_dir, "documents"), per_language=4000, one_in=5)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=50, stored=True)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
+    "op4_language": op4_language,
     "op6_repeats": op6_repeats,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
