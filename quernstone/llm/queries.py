@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontamination, language, line_dedup, near_dup, packing, quality, repeats, sharding, token_files
+from quernstone.llm import decontamination, language, line_dedup, near_dup, packing, quality, repeats, sharding, token_files, warc
 from quernstone.llm.shared import ship
 
 
@@ -37,6 +37,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(_table(spark, sf_dir, "documents"), per_language=4000, one_in=5)
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=50, stored=True)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_language": op4_language,
+    "op5_revisits": op5_revisits,
     "op6_repeats": op6_repeats,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
@@ -85,4 +90,18 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": _OP8_SQL}
+_OP5_SQL = r"""
+WITH a AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(url, '#(?s).*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages WHERE page_id IS NOT NULL),
+b AS (SELECT *, regexp_extract(bare, '^[^?]*') AS place, regexp_extract(bare, '^[^/?]*') AS host FROM a),
+c AS (SELECT *, list_sort(list_filter(string_split(substr(bare, length(place) + 2), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[A-Za-z]+|ref|fbclid|gclid)(=|$)'))) AS kept FROM b),
+k AS (SELECT page_id, html, '"' || substr(md5(html), 1, 16) || '"' AS tag,
+             regexp_replace(regexp_replace(lower(host), ':(80|443)$', ''), '^www\.', '') || regexp_replace(substr(place, length(host) + 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM c),
+f AS (SELECT v.page_id, max(r.page_id) AS response_page_id FROM k v JOIN k r ON r.url_key = v.url_key AND (r.page_id < v.page_id + 6000) GROUP BY v.page_id),
+j AS (SELECT k.page_id, k.url_key, f.response_page_id, k.tag, r.tag AS old_tag, r.html AS old_html FROM k LEFT JOIN f ON f.page_id = k.page_id LEFT JOIN k r ON r.page_id = f.response_page_id)
+SELECT DISTINCT page_id, url_key, CASE WHEN response_page_id IS NULL THEN 'missing' WHEN tag = old_tag THEN 'resolved' ELSE 'mismatch' END AS outcome, response_page_id,
+  md5(CASE WHEN tag = old_tag THEN 'content-length: ' || strlen(old_html) || chr(10) || 'content-type: text/html' || chr(10) || 'date: t' || (page_id + 6000) || chr(10) || 'etag: W/' || tag || chr(10) || 'x-cache: HIT'
+  ELSE 'connection: close' || chr(10) || 'content-length: 0' || chr(10) || 'date: t' || (page_id + 6000) || chr(10) || 'etag: W/' || tag || chr(10) || 'x-cache: HIT' END) AS headers_md5
+FROM j
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL}
