@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 
 from quernstone.llm import packing
-from quernstone.llm.queries import _tokenizer
+from quernstone.llm.queries import tokenizer_path
 from quernstone.llm.shared import ship
 
 
@@ -44,7 +44,7 @@ def check(rows, got, path, size=2048, end_id=1):
 
 def test_documents(spark):
     ship(spark)
-    path = _tokenizer("word_bpe_49k.json")
+    path = tokenizer_path("word_bpe_49k.json")
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
     got = packing.pack(df, path, end_id=1).collect()
     assert check([(r.doc_id, r.text) for r in df.collect()], got, path) < 0.01
@@ -52,7 +52,7 @@ def test_documents(spark):
 
 def test_edges(spark):
     ship(spark)
-    path = _tokenizer("word_bpe_49k.json")
+    path = tokenizer_path("word_bpe_49k.json")
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, "one two " * 40_000), (None, "x y"), (5, "é ß <|endoftext|> \0 " * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(rows, packing.pack(df, path, end_id=1).collect(), path)
@@ -77,7 +77,7 @@ def test_histograms():
 
 def test_sequences_hold_the_ids(spark):
     ship(spark)
-    path = _tokenizer("word_bpe_49k.json")
+    path = tokenizer_path("word_bpe_49k.json")
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     encode = reference(path, 1)
     texts = {r.doc_id: encode(r.text) for r in df.collect()}
