@@ -36,17 +36,17 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import new_path, open_folder, written
+from quernstone.llm.shared import lean_worker, new_path, open_folder, written
 from quernstone.llm.shingles import ODD, mix
 from quernstone.llm.suffix import permuted_prefixes, suffix_array
 
 GRAM = 24
 #: Bytes of text whose anchors travel together.
-CHUNK = 1 << 20
+CHUNK = 512 << 10
 #: Occurrences of an anchor from which its windows are dealt one by one.
 HOT = 4096
 #: Bytes of anchors in a bucket, and of segments in a shard, aimed at.
-BUCKET_BYTES, SHARD_BYTES = 12 << 20, 4 << 20
+BUCKET_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
 
 
 def _words_at(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
@@ -123,6 +123,8 @@ def _read(folder: str, part: int) -> pa.Table | None:
 def _place() -> int:
     from pyspark import TaskContext
 
+    lean_worker()
+
     return TaskContext.get().partitionId()
 
 
@@ -190,6 +192,7 @@ def _anchors(texts: DataFrame, copies: str, length: int, buckets: int) -> DataFr
 
 def _recurring(table: pa.Table) -> pa.Table:
     """The anchors of a bucket that occur twice, by chunk."""
+    lean_worker()
     key, source, place = [], [], []
     parts, chunks = table.column("part").to_numpy(), table.column("chunk").to_numpy()
     for k, blob in enumerate(table.column("packed")):
@@ -246,8 +249,8 @@ def _segments(texts: DataFrame, copies: str, recurring: str, length: int) -> Dat
             order = np.argsort(at)
             at, hot = at[order], hot[order]
             cool = at[~hot]
-            for a in range(0, len(cool), 100_000):
-                some = cool[a : a + 100_000]
+            for a in range(0, len(cool), 20_000):
+                some = cool[a : a + 20_000]
                 first, last = chunk.first[some], chunk.last[some] + length
                 doc = chunk.docs(first)
                 raw = memoryview(chunk.raw)
@@ -255,8 +258,8 @@ def _segments(texts: DataFrame, copies: str, recurring: str, length: int) -> Dat
                 key = chunk.key[some].view(np.int64)
                 yield _segment_rows(key, np.zeros(len(some), np.int64), chunk.ids[doc], part, chunk.rows[doc], first - chunk.starts[doc], pieces)
             warm = at[hot]
-            for a in range(0, len(warm), 20_000):
-                some = warm[a : a + 20_000]
+            for a in range(0, len(warm), 2_000):
+                some = warm[a : a + 2_000]
                 count = chunk.last[some] - chunk.first[some] + 1
                 spot = np.repeat(chunk.first[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
                 doc = chunk.docs(spot)
@@ -274,6 +277,7 @@ def _shard(length: int):
     """Removed runs of a shard's documents: ``part, row, start, stop``."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean_worker()
         table = table.combine_chunks()
         ids = table.column("id").to_numpy()
         coded = table.column("bytes").combine_chunks().dictionary_encode()

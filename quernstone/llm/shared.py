@@ -6,6 +6,7 @@ are read again instead of being computed from the start.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,16 @@ def open_folder(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def lean_worker() -> None:
+    """Have this Python worker give large freed arrays back to the system at once."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD: fixed, it would grow with use
+        libc.malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors' Python workers, once per context."""
     sc = spark.sparkContext
