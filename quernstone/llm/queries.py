@@ -104,4 +104,29 @@ SELECT DISTINCT page_id, url_key, CASE WHEN response_page_id IS NULL THEN 'missi
 FROM j
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL}
+_OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k + 1:k + least(5, len(ws))], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - 4))) AS k FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS z FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.z),
+m AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM d WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS x FROM w JOIN f ON w.g = f.g WHERE first < doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (head) AS n_spans FROM (SELECT doc_id, x, coalesce(x > lag(x) OVER (PARTITION BY doc_id ORDER BY x) + 1, true) AS head FROM c) GROUP BY doc_id),
+b AS (SELECT doc_id, h, unnest(range(0, n)) AS x FROM d WHERE doc_id IN (SELECT doc_id FROM r)),
+k AS (SELECT b.doc_id, string_agg(substr(h, 2 * b.x + 1, 2), '' ORDER BY b.x) AS kept FROM b LEFT JOIN c ON c.doc_id = b.doc_id AND c.x = b.x WHERE c.x IS NULL GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op6_repeats": _OP6_SQL, "op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL}
