@@ -1,11 +1,12 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
-Main path: DataFrame functions only.  Every document is cut into words once;
-each window of ``window`` words is reduced to a 64-bit probe made of five of
-its words, and the probes are looked up in the broadcast table of benchmark
-windows.  Probe hits are verified on all words of the window, so a reported
-hit is exact.  The benchmark's size is measured before it is broadcast; beyond
-``max_broadcast_windows`` the same join is a shuffled one.
+Main path: DataFrame functions only.  Every window of ``window`` words of a
+document is reduced to a 64-bit probe made of five of its words, and the
+probes are looked up in the broadcast table of benchmark windows.  The few
+that meet one go back to their document, where all words of the window are
+compared, so a reported hit is exact.  The benchmark's size is measured before
+it is broadcast; beyond ``max_broadcast_windows`` the same join is a shuffled
+one.
 """
 
 from __future__ import annotations
@@ -74,40 +75,43 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, m
     small = sum(known.values()) <= max_broadcast_windows
     table = F.broadcast(table) if small else table.hint("shuffle_hash")
 
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("ws")).withColumn("n_words", F.size("ws"))
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     nothing = F.array().cast("array<struct<at:int,len:int,key:bigint>>")
 
     def scan(n: int) -> Column:
         one = lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), probe(F.col("ws"), i, n).alias("key"))
-        return F.when(F.col("n_words") >= n, F.transform(F.sequence(F.lit(0), F.col("n_words") - F.lit(n)), one)).otherwise(nothing)
-
-    scans = [scan(n) for n in lengths]
-    itself = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("key")))
-    probes = docs.select("doc_id", "text_hash", "n_words", "ws", F.inline(F.concat(*scans, itself)))
-    verified = (F.col("key") == F.col("w_key")) & (F.col("len") == F.col("w_len")) & (F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("w_words"))
-    joined = probes.join(table, verified, "left").where(F.col("key").isNull() | F.col("w_key").isNotNull())
-    hit = F.col("w_key").isNotNull()
-    return (
-        joined.groupBy("doc_id", "text_hash")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.sum(F.col("key").isNull().cast("int")).alias("copies"),
-            F.collect_set(F.when(hit, F.struct("at", "len"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("w_items")))))).alias("items"),
-        )
-        .select("doc_id", "text_hash", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-        .drop("_copy")
-    )
+        return F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - F.lit(n)), one)).otherwise(nothing)
+
+    # Probes travel without the words; those that meet a window go back to their text to be verified.
+    scans = F.concat(*[scan(n) for n in lengths], nothing)
+    probes = texts.select("doc_id", "text_hash", words_of(F.col("text")).alias("ws")).select("doc_id", "text_hash", F.inline(scans))
+    same = (F.col("key") == F.col("w_key")) & (F.col("len") == F.col("w_len"))
+    met = probes.join(table, same).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("at", "len", "w_words", "w_items")).alias("met"))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    joined = texts.join(met, own, "left").withColumn("ws", F.when(F.col("met").isNotNull(), words_of(F.col("text"))))
+    hits = F.filter("met", lambda m: F.slice("ws", m["at"] + 1, m["len"]) == m["w_words"])
+    verified = joined.withColumn("hits", F.coalesce(hits, F.array().cast(met.schema["met"].dataType)))
+    n_words = F.coalesce(F.when(F.col("ws").isNotNull(), F.size("ws")).otherwise(F.regexp_count("text", F.lit(ANY_CASE_WORD))), F.lit(0))
+    spans = F.transform("hits", lambda m: F.struct(m["at"].alias("at"), m["len"].alias("len")))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda m: m["w_items"]))))
+    return verified.select("doc_id", "text_hash", n_words.alias("n_words"), spans.alias("spans"), items.alias("items"))
+
+
+def hit_runs(spans: Column) -> Column:
+    """The spans as sorted runs ``a`` to ``b`` of words, without overlap."""
+    run = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
 
+    def add(runs: Column, s: Column) -> Column:
+        last, stop = F.element_at(runs, -1), s["at"] + s["len"]
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), run(last["a"], F.greatest(last["b"], stop)))
+        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["b"] >= s["at"]), longer).otherwise(F.concat(runs, run(s["at"], stop)))
 
-def hit_words(spans: Column) -> Column:
-    """Positions of the words inside any span, distinct."""
-    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<a:int,b:int>>"), add)
 
 
 def digest(hits: DataFrame, *, one_in: int = 20) -> DataFrame:
     """Counts and verdict: contaminated if at least one word in ``one_in`` is hit."""
-    n_hit = F.size(hit_words(F.col("spans"))).cast("long")
+    n_hit = F.aggregate(hit_runs(F.col("spans")), F.lit(0).cast("long"), lambda n, r: n + (r["b"] - r["a"]))
     return hits.select(
         "doc_id",
         "text_hash",
@@ -121,12 +125,13 @@ def digest(hits: DataFrame, *, one_in: int = 20) -> DataFrame:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """``text`` without the words that lie inside a span and the gap before each."""
-    words = F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0))
-    gaps = F.split(text, ANY_CASE_WORD)
-    cut = hit_words(spans)
-    kept = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: ~F.array_contains(cut, i))
-    piece = F.transform(kept, lambda i: F.concat(gaps[i], F.when(i < F.size(words), words[i]).otherwise(F.lit(""))))
-    return F.when(F.size(spans) > 0, F.concat_ws("", piece)).otherwise(text)
+    words = F.concat(F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0)), F.array(F.lit("")))
+    pieces = F.zip_with(F.split(text, ANY_CASE_WORD), words, lambda gap, word: F.concat(gap, word))
+    runs = hit_runs(spans)
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["b"]))
+    ends = F.concat(F.transform(runs, lambda r: r["a"]), F.array(F.lit(1 << 30)))
+    kept = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(pieces, a + 1, b - a), ""))
+    return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(text)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, remove: str = "documents", window: int = 13, one_in: int = 20) -> DataFrame:
