@@ -236,5 +236,6 @@ def dedup_lines(documents: DataFrame, *, min_words: int = 10, line_words: int =
 
 def without_common_lines(documents: DataFrame, **limits) -> DataFrame:
     """The documents' columns; texts without aligned common blocks, documents left without words dropped where blocks were removed."""
-    out = dedup_lines(documents, **limits).where("n_removed_lines = 0 OR n_removed_words < n_words")
-    return out.select(documents.columns)
+    own = {c: f"_own_{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
+    out = dedup_lines(documents.withColumnsRenamed(own), **limits).where("n_removed_lines = 0 OR n_removed_words < n_words")
+    return out.select(*[out[own.get(c, c)].alias(c) for c in documents.columns])

@@ -162,6 +162,7 @@ def assess(documents: DataFrame, *, with_text: bool = False, rules: dict | None
 
 
 def clean(documents: DataFrame, *, rules: dict | None = None) -> DataFrame:
-    """The kept documents with their failed lines removed; same columns."""
-    judged = assess(documents, with_text=True, rules=rules).where("kept")
-    return judged.select(*[judged["cleaned"].alias("text") if c == "text" else judged[c] for c in documents.columns])
+    """The kept documents with their failed lines removed; same columns, those with a result column's name included."""
+    own = {c: f"_own_{i}" for i, c in enumerate(documents.columns) if c != "text"}
+    judged = assess(documents.withColumnsRenamed(own), with_text=True, rules=rules).where("kept")
+    return judged.select(*[judged["cleaned"].alias("text") if c == "text" else judged[own[c]].alias(c) for c in documents.columns])

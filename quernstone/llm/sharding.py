@@ -103,8 +103,10 @@ def write_shards(documents: DataFrame, path: str, shards: int = 16) -> DataFrame
     """Write the documents as ``shard=N`` folders, ordered by slot, in part files of bounded rows.
 
     Returns the assignment.  Rows of one id and text are interchangeable, so
-    they join to their slots by any one of their copies.
+    they join to their slots by any one of their copies.  Input columns named
+    ``shard`` or ``slot`` give way.
     """
+    documents = documents.drop("shard", "slot")
     plan = assign_shards(documents, shards)
     slots = plan.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot")
     text = F.coalesce("text", F.lit(""))

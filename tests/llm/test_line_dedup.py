@@ -61,6 +61,7 @@ def test_hot_first_holder_and_edges(spark, monkeypatch):
     assert {r.doc_id: r.text for r in got.collect()}[83] == ""
     repeated = spark.createDataFrame([(1, rows[5][1]), (1, rows[5][1]), (1, "x"), (None, rows[5][1]), (2, rows[5][1])], "doc_id long, text string")
     kept = sorted((str(r.doc_id), r.text) for r in line_dedup.without_common_lines(repeated).collect())
+    assert {r.n_words for r in line_dedup.without_common_lines(repeated.withColumn("n_words", repeated["doc_id"] * 0 - 5)).collect()} <= {-5, None}
     assert kept == sorted([("1", rows[5][1]), ("1", rows[5][1]), ("1", "x"), ("None", rows[5][1])])
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
