@@ -20,6 +20,10 @@ from quernstone.sources.catalog import ColumnDef, ForeignKey, Manifest, Table, d
 from quernstone.sources.database import COMPACT_PARTS, Database
 
 
+#: Folders of a table from which an insert rewrites it as one, so that single-row inserts don't pile up.
+MOST_PARTS = 32
+
+
 class Session:
     """``root`` holds the databases.  ``fk_restrict``: deletes and drops may not leave orphans (off: they may)."""
 
@@ -206,8 +210,11 @@ class Session:
                 raise EngineError(f"duplicate key in {table.name}")
         self._check_parents(table, new, [f.column for f in table.foreign])
         if n:
+            full = len(table.parts) >= MOST_PARTS
+            if full:
+                part = self.database.write(table, dml.insert(self._rows(table), new))
             part = part or self.database.write(table, new)
-            self._put(table.name, table.with_parts([*table.parts, part]))
+            self._put(table.name, table.with_parts([part] if full else [*table.parts, part]))
 
     def _check_parents(self, table: Table, rows: DataFrame, columns: list[str]) -> None:
         for f in table.foreign:

@@ -210,6 +210,17 @@ def test_random_changes_match_duckdb(session):
     assert rows(s.sql("SELECT * FROM t")) == sorted(con.execute("SELECT * FROM t").fetchall(), key=str)
 
 
+def test_single_inserts_are_gathered(session, monkeypatch):
+    from quernstone.plans import session as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    session.sql("CREATE TABLE t (a INT PRIMARY KEY)")
+    for i in range(8):
+        session.sql(f"INSERT INTO t VALUES ({i})")
+        assert len(session.manifest.table("t").parts) <= 3
+    assert rows(session.sql("SELECT * FROM t")) == [(i,) for i in range(8)]
+
+
 def test_shell(session):
     s = session
     assert answer(s, "CREATE TABLE t (a INT, b VARCHAR)").endswith("ok".ljust(20))
