@@ -28,6 +28,15 @@ from quernstone.llm.shared import new_path, open_folder
 from quernstone.llm.tokens import encoder
 
 
+def _rename(fs: pafs.FileSystem, tmp: str, name: str) -> None:
+    """Give a finished file its name; an earlier attempt's equal file gives way."""
+    try:
+        fs.move(tmp, name)
+    except OSError:
+        fs.delete_file(name)
+        fs.move(tmp, name)
+
+
 def _put(folder: str, name: str, chunks: list) -> None:
     """Write under a name of its own, then rename: a repeated attempt writes the same bytes."""
     fs, root = open_folder(folder)
@@ -36,7 +45,7 @@ def _put(folder: str, name: str, chunks: list) -> None:
     with fs.open_output_stream(tmp) as f:
         for c in chunks:
             f.write(c)
-    fs.move(tmp, f"{root}/{name}")
+    _rename(fs, tmp, f"{root}/{name}")
 
 
 def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
@@ -83,7 +92,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, end_
                         f.write(got)
                 index.append(np.column_stack([ids, sizes]).astype("<i8"))
                 n += int(sizes.sum())
-        fs.move(tmp, f"{root}/{name}")
+        _rename(fs, tmp, f"{root}/{name}")
         docs = np.concatenate(index) if index else np.zeros((0, 2), "<i8")
         _put(folder, f"docs-{part:05d}.bin", [docs.tobytes()])
         yield pa.RecordBatch.from_pydict({"part": [part], "documents": [len(docs)], "tokens": [n]})
