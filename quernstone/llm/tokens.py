@@ -36,6 +36,8 @@ class Encoder:
         self.end = array(self.code, [end_id]).tobytes()
         # With a normalizer that folds white space, a space never enters a piece.
         self.spaced = self.tokenizer.normalizer is None
+        # ASCII capitals that the normalizer lowers anyway would only fill the memo.
+        self.lowers = not self.spaced and self.tokenizer.normalizer.normalize_str("AMZ") == "amz"
         self.marks = dict(zip(["", ".", ",", "\n"], self.whole(["", ".", ",", "\n"])))
         self.memo: dict = {}
         self.older: dict = {}
@@ -111,7 +113,7 @@ class Encoder:
             cuts = [t.replace("\n", " \n").split(" ") for t in texts]
             first = self.whole([c.pop(0) for c in cuts])
         else:
-            cuts = [t.encode().split() for t in texts]
+            cuts = [t.encode().lower().split() if self.lowers else t.encode().split() for t in texts]
             first = [b""] * len(texts)
         self._learn(set().union(*cuts) - self.memo.keys())
         ids = self.memo.__getitem__
