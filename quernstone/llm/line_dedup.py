@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.shared import written
 
 #: Later documents that a copy of the first holder's sequence serves.
-PARTNERS = 512
+PARTNERS = 128
 SPACE = " \t\n\v\f\r"
 
 
@@ -180,7 +180,9 @@ def common_lines(documents: DataFrame, *, min_words: int = 10, line_words: int =
     """``id, k, spans``: for each text (``k``: its xxhash64) the line ranges that an earlier document has."""
     sequences = written(_sequences(documents).dropDuplicates(["id", "k"]), "sequences")
     holders = _holders(sequences, line_words)
-    firsts = holders.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("latest"), F.count(F.lit(1)).alias("df")).where("latest > first").select("h", "first", "df")
+    # Written, so that the join below is one whose hot lines are split or, where recurring lines are few, a broadcast one.
+    firsts = holders.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("latest"), F.count(F.lit(1)).alias("df")).where("latest > first")
+    firsts = written(firsts.select("h", "first", "df"), "firsts")
     shared = holders.join(firsts, "h").where("id > first").select("id", "k", "first", "n", (F.col("df") <= rare).cast("int").alias("rare"))
     pairs = written(shared.groupBy("id", "k", "first").agg(F.sum("n").alias("n"), F.max("rare").alias("rare")).where((F.col("rare") == 1) | (F.col("n") >= min_words)).select("id", "k", "first"), "pairs")
     salts = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("salts"))
