@@ -86,8 +86,8 @@ def _pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int) -> Dat
         encode = encoder(tokenizer, end_id)
         ranks = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
+            for at in range(0, batch.num_rows, 512):
+                texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
                 doc, start, length, crc, total = [], [], [], [], []
                 for i, raw in enumerate(encode.many(texts), at):
                     ids = np.frombuffer(raw, encode.dtype).astype("<u4")

@@ -86,8 +86,8 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, end_
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 sizes = np.empty(len(ids), np.int64)
-                for at in range(0, len(ids), 256):  # bounds the ids held at once
-                    for i, got in enumerate(encode.many(batch.column(1).slice(at, 256).to_pylist()), at):
+                for at in range(0, len(ids), 512):  # bounds the ids held at once
+                    for i, got in enumerate(encode.many(batch.column(1).slice(at, 512).to_pylist()), at):
                         sizes[i] = len(got) // encode.dtype.itemsize
                         f.write(got)
                 index.append(np.column_stack([ids, sizes]).astype("<i8"))

@@ -19,7 +19,7 @@ import numpy as np
 #: Pieces remembered by a worker; beyond it only those used since the last turn stay.
 MEMO = 800_000
 #: Words encoded as one text.
-TOGETHER = 4000
+TOGETHER = 500
 
 
 class Encoder:
@@ -36,6 +36,11 @@ class Encoder:
         self.end = array(self.code, [end_id]).tobytes()
         # With a normalizer that folds white space, a space never enters a piece.
         self.spaced = self.tokenizer.normalizer is None
+        if self.spaced and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # what it would keep, the memo has
+        # Tokens that begin (with a space in front) or end (marked so) a word.
+        self.edge = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
+        self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("\u0120") if self.spaced else t.endswith("</w>"))]] = True
         # ASCII capitals that the normalizer lowers anyway would only fill the memo.
         self.lowers = not self.spaced and self.tokenizer.normalizer.normalize_str("AMZ") == "amz"
         self.marks = dict(zip(["", ".", ",", "\n"], self.whole(["", ".", ",", "\n"])))
@@ -47,12 +52,19 @@ class Encoder:
 
     def _words(self, words: list[str], before: str) -> list[bytes]:
         """Ids of words of letters only, ``before`` in front of each, encoded as one text that is cut again by word."""
-        got = self.tokenizer.encode(before + before.join(words) if before == " " and self.spaced else before.join(words), add_special_tokens=False)
-        ids, word = np.array(got.ids, self.dtype), np.array(got.word_ids, np.int64)
-        cuts = np.flatnonzero(np.diff(word)) + 1
-        step = 2 if before == "\n" and self.spaced else 1  # a line feed is a piece of its own
+        led = before == " " and self.spaced
+        if before == "\n" and self.spaced:
+            got = self.tokenizer.encode(before.join(words), add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            cuts = np.flatnonzero(np.diff(np.array(got.word_ids, np.int64))) + 1
+            step = 2  # a line feed is a piece of its own
+        else:
+            text = before + before.join(words) if led else before.join(words)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.edge[ids[1:]]) + 1 if led else np.flatnonzero(self.edge[ids[:-1]]) + 1
+            step = 1
         if len(cuts) + 1 != step * (len(words) - 1) + 1:  # letters that a normalizer takes apart
-            return self.whole([" " + w if before == " " and self.spaced else w for w in words])
+            return self.whole([" " + w if led else w for w in words])
         raw, size = ids.tobytes(), self.dtype.itemsize
         ends = [0, *(cuts * size).tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(ends[::step], ends[1::step])]
