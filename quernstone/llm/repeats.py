@@ -6,8 +6,9 @@ document with a smaller id.  Texts are never shuffled; four passes read them:
 1. ``_identities``: equal texts.  A copy of a text with a smaller id is decided
    at once and left out of the rest.
 2. ``_anchors``: of every window of ``length`` bytes the gram with the smallest
-   hash.  Equal windows have equal anchors, so only anchors that occur twice
-   can matter.  Anchors travel as 8 bytes: 48 bits of hash, 16 of position.
+   hash.  Equal windows have equal anchors, so only anchors that two documents
+   have can matter.  A chunk of texts sends each different anchor once: 48 bits
+   of hash, 16 of rank, and a byte for how often it occurs there.
 3. ``_segments``: around each anchor that recurs, the bytes of all windows that
    it stands for.  They are dealt by anchor, so equal windows meet in one
    shard.  A shard's suffix array is built by induced sorting; where the
@@ -16,8 +17,9 @@ document with a smaller id.  Texts are never shuffled; four passes read them:
 4. ``_results``: removed runs are cut out of the texts.
 
 An anchor with more than ``HOT`` occurrences would make a shard that grows with
-the corpus.  Its windows are dealt one by one instead, by 128 bits of hash, and
-their smallest ids meet in partial aggregates.
+the corpus.  Its windows are dealt in small blocks instead, each once for a
+document, by 128 bits of hash, and their smallest ids meet in partial aggregates;
+the windows of blocks that no smaller id has are dealt one by one.
 
 Passes find their rows again by place: the number of the scan's partition and
 of the row in it.  The operator holds the splits fixed while it runs, and every
@@ -36,15 +38,15 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import lean_worker, new_path, open_folder, written
+from quernstone.llm.shared import delete, dropped, lean_worker, new_path, open_folder, written
 from quernstone.llm.shingles import ODD, mix
 from quernstone.llm.suffix import permuted_prefixes, suffix_array
 
 GRAM = 24
 #: Bytes of text whose anchors travel together.
 CHUNK = 512 << 10
-#: Occurrences of an anchor from which its windows are dealt one by one.
-HOT = 4096
+#: Occurrences of an anchor, about, from which its windows are dealt one by one: their segments would be a third of a shard.
+HOT = 16_384
 #: Bytes of anchors in a bucket, and of segments in a shard, aimed at.
 BUCKET_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
 
@@ -66,7 +68,7 @@ class Chunk:
         n = int(sizes.sum())
         self.length = length
         empty = np.zeros(0, np.int64)
-        self.first = self.last = empty
+        self.first = self.last = self.spot = empty
         self.key = np.zeros(0, np.uint64)
         if n < length:
             return
@@ -95,7 +97,7 @@ class Chunk:
         self.first = valid[np.concatenate(([0], new))] if len(valid) else empty
         self.last = valid[np.append(new - 1, len(valid) - 1)] if len(valid) else empty
         at = spot[np.concatenate(([0], new))] if len(valid) else empty
-        self.key = mix(h[at])
+        self.spot, self.key = at, mix(h[at])
 
     def docs(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
@@ -171,19 +173,27 @@ def _identities(texts: DataFrame) -> DataFrame:
 
 
 def _anchors(texts: DataFrame, copies: str, length: int, buckets: int) -> DataFrame:
+    """Each chunk's different anchors by bucket: 48 bits of key with 16 of rank, and a byte for how often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _place()
         for number, chunk in enumerate(_chunks(batches, copies, length)):
-            bucket = (chunk.key >> np.uint64(40)) % np.uint64(buckets)
+            key, inverse, times = np.unique(chunk.key, return_inverse=True, return_counts=True)
+            docs = chunk.docs(chunk.first)
+            low_doc, high_doc = np.full(len(key), len(chunk.ids)), np.full(len(key), -1)
+            np.minimum.at(low_doc, inverse, docs)
+            np.maximum.at(high_doc, inverse, docs)
+            often = np.ceil(np.log2(np.maximum(times, 1))).astype(np.uint8) | np.where(low_doc < high_doc, 128, 0).astype(np.uint8)
+            bucket = (key >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             used, cuts = np.unique(bucket[order], return_index=True)
-            low = chunk.key & np.uint64((1 << 48) - 1)
+            low = key & np.uint64((1 << 48) - 1)
             packed = []
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 mine = order[a:b]
                 page, rest = np.divmod(mine, 1 << 16)
-                pages = np.bincount(page, minlength=(len(chunk.key) >> 16) + 1).astype("<i4")  # entries of each run of 65,536 anchors
-                packed.append(len(pages).to_bytes(4, "little") + pages.tobytes() + (low[mine] << np.uint64(16) | rest.astype(np.uint64)).tobytes())
+                pages = np.bincount(page, minlength=(len(key) >> 16) + 1).astype("<i4")  # entries of each run of 65,536 ranks
+                packed.append(len(pages).to_bytes(4, "little") + pages.tobytes() + (low[mine] << np.uint64(16) | rest.astype(np.uint64)).tobytes() + often[mine].tobytes())
             same = lambda x: pa.array(np.full(len(used), x))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), same(part), same(number), same(len(chunk.key)), pa.array(packed, pa.binary())], ["bucket", "part", "chunk", "count", "packed"])
 
@@ -191,25 +201,27 @@ def _anchors(texts: DataFrame, copies: str, length: int, buckets: int) -> DataFr
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """The anchors of a bucket that occur twice, by chunk."""
+    """The anchors of a bucket that two documents have, by chunk."""
     lean_worker()
-    key, source, place = [], [], []
+    key, source, place, often = [], [], [], []
     parts, chunks = table.column("part").to_numpy(), table.column("chunk").to_numpy()
     for k, blob in enumerate(table.column("packed")):
         raw = blob.as_buffer()
         pages = np.frombuffer(raw, "<i4", int.from_bytes(raw[:4].to_pybytes(), "little"), 4)
-        x = np.frombuffer(raw, "<u8", offset=4 + 4 * len(pages))
+        n = int(pages.sum())
+        x = np.frombuffer(raw, "<u8", n, 4 + 4 * len(pages))
         key.append(x >> np.uint64(16))
         place.append(np.repeat(np.arange(len(pages), dtype=np.int64) << 16, pages) + (x & np.uint64(0xFFFF)).astype(np.int64))
-        source.append(np.full(len(x), k, np.int32))
-    key, source, place = map(np.concatenate, (key, source, place))
+        often.append(np.frombuffer(raw, np.uint8, n, 4 + 4 * len(pages) + 8 * n))
+        source.append(np.full(n, k, np.int32))
+    key, source, place, often = map(np.concatenate, (key, source, place, often))
     order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    bounds = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
-    times = np.diff(bounds)
-    times = np.repeat(times, times)
-    again = times > 1
-    order, hot = order[again], times[again] > HOT
+    ranked, often = key[order], often[order]
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ranked))))
+    several = (np.diff(np.append(starts, len(ranked))) > 1) | (np.maximum.reduceat(often, starts) >= 128)
+    total = np.add.reduceat(np.int64(1) << (often & 127).astype(np.int64), starts)  # at most twice the occurrences
+    order, hot = order[several[group]], (total > HOT)[group][several[group]]
     by = np.argsort(source[order], kind="stable")
     order, hot = order[by], hot[by]
     cuts = np.searchsorted(source[order], np.arange(len(parts) + 1))
@@ -225,11 +237,13 @@ def _recurring(table: pa.Table) -> pa.Table:
     )
 
 
-SEGMENTS = "k1 long, k2 long, id long, part long, row long, at long, bytes binary"
+#: Neighbouring windows of a hot anchor that are dealt as one block.
+BLOCK = 8
+SEGMENTS = "k1 long, k2 long, id long, part long, row long, at long, bytes binary, places binary, windows binary"
 
 
 def _segments(texts: DataFrame, copies: str, recurring: str, length: int) -> DataFrame:
-    """For each recurring anchor its bytes; for each window of a hot one a row without."""
+    """For each recurring anchor its bytes; for each different block of a document's hot ones its places and the hashes of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _place()
@@ -245,32 +259,132 @@ def _segments(texts: DataFrame, copies: str, recurring: str, length: int) -> Dat
             for p, h in zip(mine.column("places").to_pylist(), mine.column("hot").to_pylist()):
                 at.append(np.frombuffer(p, "<i4"))
                 hot.append(np.unpackbits(np.frombuffer(h, np.uint8), count=len(at[-1])).astype(bool))
-            at, hot = np.concatenate(at), np.concatenate(hot)
-            order = np.argsort(at)
-            at, hot = at[order], hot[order]
-            cool = at[~hot]
+            key, inverse = np.unique(chunk.key, return_inverse=True)
+            state = np.zeros(len(key), np.int8)
+            state[np.concatenate(at)] = 1 + np.concatenate(hot)
+            state = state[inverse]
+            at = np.flatnonzero(state)
+            hot = state[at] == 2
+            cool, raw = at[~hot], chunk.raw.tobytes()
             for a in range(0, len(cool), 20_000):
                 some = cool[a : a + 20_000]
                 first, last = chunk.first[some], chunk.last[some] + length
                 doc = chunk.docs(first)
-                raw = memoryview(chunk.raw)
                 pieces = [raw[x:y] for x, y in zip(first.tolist(), last.tolist())]
                 key = chunk.key[some].view(np.int64)
-                yield _segment_rows(key, np.zeros(len(some), np.int64), chunk.ids[doc], part, chunk.rows[doc], first - chunk.starts[doc], pieces)
+                yield _segment_rows(key, np.zeros(len(some), np.int64), chunk.ids[doc], part, chunk.rows[doc], first - chunk.starts[doc], pieces, [None] * len(some), [None] * len(some))
             warm = at[hot]
-            for a in range(0, len(warm), 2_000):
-                some = warm[a : a + 2_000]
-                count = chunk.last[some] - chunk.first[some] + 1
-                spot = np.repeat(chunk.first[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                doc = chunk.docs(spot)
-                yield _segment_rows(*chunk.windows(spot), chunk.ids[doc], part, chunk.rows[doc], spot - chunk.starts[doc], [None] * len(spot))
+            for a in range(0, len(warm), 30_000):
+                yield from _blocks(chunk, warm[a : a + 30_000], part)
 
     return texts.mapInArrow(run, SEGMENTS)
 
 
-def _segment_rows(k1, k2, ids, part, rows, at, pieces) -> pa.RecordBatch:
-    arrays = [pa.array(k1), pa.array(k2), pa.array(ids), pa.array(np.full(len(ids), part)), pa.array(rows), pa.array(at), pa.array(pieces, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "id", "part", "row", "at", "bytes"])
+def _blocks(chunk: Chunk, warm: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    """The windows of hot anchors in blocks that lie alike around the anchor; a block that a document repeats makes one row.
+
+    The first and the last window of a block cover it, so their hashes tell it.
+    """
+    spot, first, last = chunk.spot[warm], chunk.first[warm], chunk.last[warm]
+    low, high = (spot - last) // BLOCK, (spot - first) // BLOCK
+    count = high - low + 1
+    which = np.repeat(np.arange(len(warm)), count)
+    j = low[which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = np.maximum(spot[which] - BLOCK * j - BLOCK + 1, first[which])
+    n = np.minimum(spot[which] - BLOCK * j, last[which]) - start + 1
+    ends = np.cumsum(n)
+    at = np.repeat(start - ends + n, n) + np.arange(ends[-1])
+    hashes = np.column_stack(chunk.windows(at)).astype("<i8")
+    head, tail = hashes[ends - n].view(np.uint64), hashes[ends - 1].view(np.uint64)
+    k1 = mix(head[:, 0] * ODD[0] + tail[:, 0] * ODD[1] + n.astype(np.uint64)).view(np.int64)
+    k2 = mix(head[:, 1] * ODD[2] + tail[:, 1] * ODD[3] + n.astype(np.uint64)).view(np.int64)
+    doc = chunk.docs(start)
+    order = np.lexsort((start, k2, k1, doc))
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0))))
+    inside = (start - chunk.starts[doc])[order].astype("<i4")
+    stops = np.append(new[1:], len(order))
+    for a in range(0, len(new), 20_000):
+        some = order[new[a : a + 20_000]]
+        places = [inside[x:y].tobytes() for x, y in zip(new[a : a + 20_000].tolist(), stops[a : a + 20_000].tolist())]
+        windows = [hashes[x:y].tobytes() for x, y in zip((ends - n)[some].tolist(), ends[some].tolist())]
+        yield _segment_rows(k1[some], k2[some], chunk.ids[doc[some]], part, chunk.rows[doc[some]], n[some], [None] * len(some), places, windows)
+
+
+def _single_windows(blocks: DataFrame) -> DataFrame:
+    """Blocks as their windows: ``w1, w2, id, part, row, at`` (from the block's start) and ``places``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(4).to_pylist()
+            n = np.array([len(x) // 16 for x in raw], np.int64)
+            hashes = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+            of = np.repeat(np.arange(len(n)), n)
+            take = pa.array(of)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            columns = [pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)] + [batch.column(k).take(take) for k in (0, 1, 2)] + [pa.array(at), batch.column(3).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "id", "part", "row", "at", "places"])
+
+    return blocks.select("id", "part", "row", "places", "windows").mapInArrow(run, "w1 long, w2 long, id long, part long, row long, at long, places binary")
+
+
+def _runs(later: DataFrame) -> DataFrame:
+    """Removed runs of rows ``part, row, places``: each place moved by ``shift``, ``size`` bytes long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, start, stop = [], [], []
+            for i, (raw, shift, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))):
+                at = np.frombuffer(raw, "<i4").astype(np.int64) + shift
+                cuts = np.flatnonzero(np.diff(at) > size) + 1
+                of += [i] * (len(cuts) + 1)
+                start += at[np.concatenate(([0], cuts))].tolist()
+                stop += (at[np.append(cuts, len(at)) - 1] + size).tolist()
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["part", "row", "start", "stop"])
+
+    return later.select("part", "row", "places", "shift", "size").mapInArrow(run, "part long, row long, start long, stop long")
+
+
+def _hot_runs(hot: DataFrame, length: int) -> DataFrame:
+    """Removed runs of hot blocks.
+
+    A block that a smaller id has too goes as a whole.  Of the others each
+    window is looked up: the smallest id that has a window has it in such a
+    block, since else a still smaller one would have the block.
+    """
+
+    def earliest(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        found = df.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("latest")).where("latest > first")
+        return written(found.select(*keys, "first"), name)
+
+    known = hot.join(earliest(hot, ["k1", "k2"], "earliest-blocks"), ["k1", "k2"], "left")
+    whole = known.where("id > first").select("part", "row", "places", F.lit(0).cast("long").alias("shift"), (F.col("at") + length - 1).alias("size"))
+    single = written(_single_windows(known.where("first IS NULL OR id = first")), "windows")
+    found = single.join(earliest(single, ["w1", "w2"], "earliest-windows"), ["w1", "w2"]).where("id > first")
+    return _runs(whole.union(found.select("part", "row", "places", F.col("at").alias("shift"), F.lit(length).cast("long").alias("size"))))
+
+
+def _segment_rows(k1, k2, ids, part, rows, at, pieces, places, windows) -> pa.RecordBatch:
+    arrays = [pa.array(k1), pa.array(k2), pa.array(ids), pa.array(np.full(len(ids), part)), pa.array(rows), pa.array(at), *(pa.array(x, pa.binary()) for x in (pieces, places, windows))]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SEGMENTS.split(", ")])
+
+
+def _holders(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window of each piece starts in all pieces side by side; by place, the smallest id of an equal window."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    raw = np.frombuffer(b"\0".join(pieces), np.uint8)
+    ends = np.cumsum(size + 1) - 1
+    letters = raw.astype(np.uint16) + 1
+    letters[ends[:-1]] = 0  # no window reaches over the end of a piece
+    array = suffix_array(letters, 257, length)
+    owner = np.repeat(np.arange(len(pieces)), size + 1)[: len(raw)]
+    whole = np.arange(len(raw)) + length <= ends[owner]
+    equal = permuted_prefixes(raw, array, length, whole)[array] >= length
+    groups = np.flatnonzero(~equal)
+    smallest = np.minimum.reduceat(least[owner[array]], groups)
+    holder = np.empty(len(raw), np.int64)
+    holder[array] = np.repeat(smallest, np.diff(np.append(groups, len(array))))
+    return np.flatnonzero(whole), holder
 
 
 def _shard(length: int):
@@ -282,28 +396,27 @@ def _shard(length: int):
         ids = table.column("id").to_numpy()
         coded = table.column("bytes").combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        which = coded.indices.to_numpy()
-        pieces = coded.dictionary.to_pylist()
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         size = np.array([len(p) for p in pieces], np.int64)
-        starts = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        raw = np.frombuffer(b"\0".join(pieces), np.uint8)
-        ends = starts + size
         least = np.full(len(pieces), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ids)
-        letters = raw.astype(np.uint16) + 1
-        letters[ends[:-1]] = 0  # no window reaches over the end of a segment
-        array = suffix_array(letters, 257, length)
-        owner = np.repeat(np.arange(len(pieces)), size + 1)[: len(raw)]
-        whole = np.arange(len(raw)) + length <= ends[owner]
-        equal = permuted_prefixes(raw, array, length, whole)[array] >= length
-        groups = np.flatnonzero(~equal)
-        smallest = np.minimum.reduceat(least[owner[array]], groups)
-        holder = np.empty(len(raw), np.int64)
-        holder[array] = np.repeat(smallest, np.diff(np.append(groups, len(array))))
+        anchor = np.empty(len(pieces), np.int64)
+        anchor[which] = table.column("k1").to_numpy()
+        _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
+        several = times[group] > 1
+        # Every window of every piece, and the smallest id that holds it.
+        windows = size - length + 1
+        base = np.cumsum(windows) - windows
+        holder = np.repeat(least, windows)
+        if several.any():  # a piece that is all its anchor has is in order already
+            some = np.flatnonzero(several)
+            at, found = _holders([pieces[i] for i in some], least[some], length)
+            into = np.repeat(base[some], windows[some]) + np.arange(windows[some].sum()) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
+            holder[into] = found[at]
         count = size[which] - length + 1
         row = np.repeat(np.arange(len(which)), count)
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        gone = holder[starts[which][row] + offset] < ids[row]
+        gone = holder[base[which][row] + offset] < ids[row]
         row, offset = row[gone], offset[gone]
         if not len(row):
             return pa.table({c: pa.array([], pa.int64()) for c in ("part", "row", "start", "stop")})
@@ -359,15 +472,17 @@ def _results(texts: DataFrame, copies: str, removed: str, length: int, with_text
 
 
 @contextlib.contextmanager
-def _fixed_splits(spark):
-    """The scan's splits don't follow the number of executors while a job runs."""
-    key = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, before or max(1, spark.sparkContext.defaultParallelism))
+def _settings(spark):
+    """While a job runs the scan's splits don't follow the number of executors, and batches of texts stay small."""
+    wanted = {"spark.sql.files.minPartitionNum": str(max(1, spark.sparkContext.defaultParallelism)), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _by_part(df: DataFrame, name: str) -> str:
@@ -394,11 +509,12 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, with_text: bool =
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts if stored else written(texts, "texts")
-    with _fixed_splits(spark):
+    with _settings(spark):
         same = written(_identities(texts), "identities")
         total = same.agg(F.sum("size")).first()[0] or 0
         known = same.where(f"id IS NOT NULL AND size >= {length}")
-        repeated = known.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k1", "k2", "first")
+        # Written, as the tables of smallest ids are below, so that hot keys of the joins are split.
+        repeated = written(known.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k1", "k2", "first"), "repeated")
         copies = _by_part(known.join(repeated, ["k1", "k2"]).where("id > first").select("part", "row"), "copies")
 
         buckets = int(max(8, total // (2 * BUCKET_BYTES)))  # an anchor takes 8 bytes for 16 of text, about
@@ -409,7 +525,10 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, with_text: bool =
         cool, hot = segments.where("bytes IS NOT NULL"), segments.where("bytes IS NULL")
         shards = max(1, -(-(cool.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // SHARD_BYTES))
         runs = cool.withColumn("shard", F.pmod(F.xxhash64("k1"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(length), "part long, row long, start long, stop long")
-        earliest = hot.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("latest")).where("latest > first").select("k1", "k2", "first")
-        later = hot.join(earliest, ["k1", "k2"]).where("id > first").select("part", "row", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-        removed = _by_part(runs.union(later), "removed")
-        return written(_results(texts, copies, removed, length, with_text), "results")
+        removed = _by_part(runs.union(_hot_runs(hot, length)), "removed")
+        results = written(_results(texts, copies, removed, length, with_text), "results")
+        for table in (same, repeated, segments):
+            dropped(table)
+        for path in (copies, recurring, removed):
+            delete(spark, path)
+        return results

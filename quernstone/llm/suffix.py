@@ -111,12 +111,12 @@ def _rank(names: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-k] = rank[k:] + 1
         key = rank * (top + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
         top, k = int(rank.max()) + 1, 2 * k
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def suffix_array(text: np.ndarray, letters: int, depth: int | None = None) -> np.ndarray:

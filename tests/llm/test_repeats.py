@@ -45,7 +45,7 @@ def test_documents_match_brute_force(spark):
     assert run(df, stored=True) == want
 
 
-@pytest.mark.parametrize("hot", [2, 4096])
+@pytest.mark.parametrize("hot", [2, 16_384])
 def test_edges(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "CHUNK", 5_000)
@@ -65,6 +65,16 @@ def test_edges(spark, monkeypatch, hot):
     assert texts[6] == "" and texts[1] is None and texts[9] == "z" * 49 and texts[8] == ""
 
 
+def test_clear_deletes_what_was_written(spark):
+    from quernstone.llm import shared
+
+    table = shared.written(spark.range(3), "numbers")
+    assert table.count() == 3
+    shared.clear(spark)
+    fs, root = shared.open_folder(table._quernstone_path)
+    assert fs.get_file_info(root).type.name == "NotFound"
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(300):
