@@ -116,10 +116,10 @@ class Model:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows of each language, drawn by a hash of the row."""
+    """At most about ``per_language`` rows of each language, drawn by a hash of the row.  ``fit`` has bounded the languages, so their counts may be broadcast."""
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     coin = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(counts.limit(100_000)), "lang").where(coin * F.col("n") < per_language).select("lang", "text")
+    return labelled.join(F.broadcast(counts), "lang").where(coin * F.col("n") < per_language).select("lang", "text")
 
 
 def fit(documents: DataFrame, *, per_language: int = 4000, one_in: int = 5, most_languages: int = 200) -> Model:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import setsketch
 from quernstone.llm.components import components
-from quernstone.llm.shared import written
+from quernstone.llm.shared import dropped, written
 from quernstone.llm.shingles import ODD, Words, mix, shingle_set
 
 #: Bounds of what a task examines together: documents and shingles.
@@ -163,10 +163,8 @@ def _examine(percent: int):
     return run
 
 
-def _links(documents: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
-    """Verified links ``a, b``, enough to tie all linked nodes together."""
-    clusters = components(_same_bucket(nodes).distinct())
-    picked = written(_tasks(clusters, nodes, percent), "tasks")
+def _links(documents: DataFrame, picked: DataFrame, percent: int, size: int) -> DataFrame:
+    """Verified links ``a, b`` among the candidates with their tasks, enough to tie all linked nodes together."""
     few = picked.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +196,13 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, size: int = 5) -
     sets = marks.where("n > 0 AND doc_id IS NOT NULL")
     nodes = written(sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "nodes")
     # An id with several different texts ties their sets together.
-    links = _links(documents, nodes, percent, size)
+    clusters = components(_same_bucket(nodes).distinct())
+    picked = written(_tasks(clusters, nodes, percent), "tasks")
+    links = _links(documents, picked, percent, size)
     tied = sets.select("doc_id", "n", "k1", "k2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
     repeated = sets.join(tied, "doc_id").join(nodes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     classes = written(components(links.union(repeated)), "classes")
+    dropped(picked)
     named = nodes.select("n", "k1", "k2", "id").join(classes, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("found"))
     out = marks.drop("sketch").join(named, ["n", "k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id"))
