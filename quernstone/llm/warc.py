@@ -112,8 +112,8 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def read_warc(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Records of the files that ``write_warc`` returned; header names in lower case."""
+def read_warc(spark: SparkSession, folder: str, files: DataFrame, *, payload: bool = True) -> DataFrame:
+    """Records of the files that ``write_warc`` returned; header names in lower case.  Without ``payload`` that column is null."""
     schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("t", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
                 some: list[dict] = []
                 with fs.open_input_stream(f"{root}/{path}", compression=None) as f:
                     for member in _members(f):
-                        some.append(parse_record(member))
+                        some.append(parse_record(member) | ({} if payload else {"payload": None}))
                         if len(some) == 64:
                             yield pa.RecordBatch.from_pylist(some, schema)
                             some = []
@@ -217,7 +217,7 @@ def revisits_of_pages(pages: DataFrame, later: int = 6000) -> DataFrame:
     """The pages' crawl, written to WARC files, read back and resolved: a row per page."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    records = read_warc(spark, folder, write_warc(crawl_of(pages, later), folder))
+    records = read_warc(spark, folder, write_warc(crawl_of(pages, later), folder), payload=False)
     found = resolve_revisits(records.drop("payload"))
     fields = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
     return found.select(F.substring("record_id", 2, 20).cast("long").alias("page_id"), "url_key", "outcome", F.substring("response_id", 2, 20).cast("long").alias("response_page_id"), F.md5(F.encode(fields, "UTF-8")).alias("headers_md5"))

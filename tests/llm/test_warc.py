@@ -19,6 +19,7 @@ def test_round_trip(spark):
     got = warc.read_warc(spark, folder, warc.write_warc(df, folder)).collect()
     want = [(*r[:5], r[5] or {}, r[6] or b"") for r in rows * 3]
     assert sorted(((*r[:6], bytes(r.payload)) for r in got), key=str) == sorted(want, key=str)
+    assert {r.payload for r in warc.read_warc(spark, folder, warc.write_warc(df, folder), payload=False).collect()} == {None}
     none = new_path(spark, "warc-test")
     assert warc.read_warc(spark, none, warc.write_warc(df.limit(0), none)).collect() == []
 
