@@ -1,14 +1,15 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by shared runs of lines.
 
 1. Every text becomes a sequence of 64-bit line hashes.
-2. Documents that share a line are tied to the line's first holder, not to
-   each other, so a line in n documents gives n - 1 pairs.  A rare line makes
-   a pair on its own; common lines make one where those that the pair shares
-   have ``min_words`` words together, the least that could be removed.
-3. Each pair is aligned with patience diff on the hashes.  The sequences of a
-   hot first holder are sent to as many tasks as its partners need.
-4. Aligned blocks of ``min_words`` words or more are deleted from the later
-   document.
+2. From each line the shortest run onwards, and the shortest run backwards,
+   that has ``min_words`` words is hashed as a whole: its windows.
+3. The least id of each window is its first holder.  A window whose first
+   holder is an earlier document is deleted from the later one.
+
+Each line of a run of ``min_words`` words or more lies in a window that ends
+inside that run: the one onwards from the run's start or the one backwards from
+the line itself.  So what goes is every line in such a run that any earlier
+document has, whatever else the two share and however many documents have it.
 """
 
 from __future__ import annotations
@@ -24,20 +25,57 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.shared import written
 
-#: Later documents that a copy of the first holder's sequence serves.
-PARTNERS = 128
 SPACE = " \t\n\v\f\r"
 
 
-def _sequence(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and words of each line; lines without words have hash 0."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scatter 64-bit keys (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def windows(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first line and end of the shortest runs of ``min_words`` words from each line onwards and backwards.
+
+    A run is its lines without outer white space; lines without words count as
+    such.  Equal runs have equal keys.  Work is linear in the text.
+    """
     import xxhash
 
-    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    words = np.fromiter((len(x.split()) for x in lines), np.int32, len(lines))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.strip()) | 1 for x in lines), np.uint64, len(lines))
-    hashes[words == 0] = 0
-    return hashes, words
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+    at = np.flatnonzero(words)  # lines with words; the others enter as gaps between these
+    total = np.concatenate([[0], np.cumsum(words[at])])
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(lines[i].strip()) | 1 for i in at), np.uint64, len(at))
+    # Each line's last, by its shortest run onwards, and the first of the shortest run backwards.
+    last = np.searchsorted(total, total[:-1] + min_words) - 1
+    first = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    onwards = np.flatnonzero(last < len(at))
+    backwards = np.flatnonzero(first >= 0)
+    woven = np.zeros(2 * len(at), np.uint64)
+    woven[::2] = hashes
+    woven[1:-1:2] = np.diff(at)
+    raw = woven.tobytes()
+
+    def keys(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = hashes[i]
+        for n in np.flatnonzero(i < j).tolist():
+            out[n] = xxhash.xxh3_64_intdigest(raw[16 * i[n] : 16 * j[n] + 8])
+        return out
+
+    one, two = keys(onwards, last[onwards]), keys(first[backwards], backwards)
+    own = last[first[backwards]] != backwards  # not a run onwards too
+    found = [(one, at[onwards], at[last[onwards]] + 1), (two[own], at[first[backwards]][own], at[backwards][own] + 1)]
+    # Lines without words before a run onwards and after one backwards: its key and their number.
+    step = np.uint64(0x9E3779B97F4A7C15)
+    before = np.diff(at, prepend=-1)[onwards] - 1
+    n = np.arange(before.sum()) - np.repeat(np.cumsum(before) - before, before) + 1
+    found.append((_mixed(np.repeat(one, before) + n.astype(np.uint64) * step), np.repeat(at[onwards], before) - n, np.repeat(at[last[onwards]] + 1, before)))
+    after = np.diff(at, append=len(lines))[backwards] - 1
+    n = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + 1
+    found.append((_mixed(np.repeat(two, after) - n.astype(np.uint64) * step), np.repeat(at[first[backwards]], after), np.repeat(at[backwards] + 1, after) + n))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -75,6 +113,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
     A range gives its common head and tail, then the longest rising run of
     lines that both have once; what lies between these is treated likewise.
+    The search for shared runs does not use it, since it leaves some out.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -104,109 +143,45 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(earlier: list, later: list, words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Ranges of the later sequence that are aligned without a gap and have ``min_words`` words."""
-    pairs = patience(earlier, later)
-    out = []
-    k = 0
-    while k < len(pairs):
-        n = 1
-        while k + n < len(pairs) and pairs[k + n] == (pairs[k][0] + n, pairs[k][1] + n):
-            n += 1
-        start = pairs[k][1]
-        if sum(words[start : start + n]) >= min_words:
-            out.append((start, start + n))
-        k += n
-    return out
-
-
-def _sequences(documents: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [_sequence(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["id", "k", "hashes", "words"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "id long, k long, hashes binary, words binary")
-
-
-def _holders(sequences: DataFrame, least: int) -> DataFrame:
-    """A row for each document and distinct line of ``least`` words or more."""
+def _windows(documents: DataFrame, min_words: int) -> DataFrame:
+    """A row for each window of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n, at = [], [], []
-            for i, (x, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                words = np.frombuffer(w, np.int32)
-                solid = words >= least
-                one, first = np.unique(np.frombuffer(x, np.uint64)[solid], return_index=True)
-                h.append(one)
-                n.append(words[solid][first])
-                at.append(np.full(len(one), i))
-            if h:
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(n))], ["h", "id", "k", "n"])
-
-    return sequences.mapInArrow(run, "h long, id long, k long, n int")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [windows(t.as_py(), min_words) for t in part.column(2)]
+                take = pa.array(np.repeat(np.arange(len(got)), [len(h) for h, _, _ in got]))
+                h, start, stop = map(np.concatenate, zip(*got))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["h", "id", "k", "start", "stop"])
 
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").where("id IS NOT NULL AND text IS NOT NULL")
+    return texts.mapInArrow(run, "h long, id long, k long, start int, stop int")
 
-def _aligned(dealt: DataFrame, min_words: int) -> DataFrame:
-    """Rows come as (first, salt, id, k, hashes, words): first those of the first holder (id null), then its partners'."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, earlier = None, []
-        for batch in batches:
-            ids, ks, starts, stops = [], [], [], []
-            for e, salt, i, k, h, w in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if (e, salt) != group:
-                    group, earlier = (e, salt), []
-                seq = np.frombuffer(h, np.uint64).tolist()
-                if i is None:
-                    earlier.append((seq, set(seq)))
-                    continue
-                words = np.frombuffer(w, np.int32).tolist()
-                for other, lines in earlier:
-                    if any(x in lines for x in seq if x):
-                        for a, b in common_blocks(other, seq, words, min_words):
-                            ids.append(i)
-                            ks.append(k)
-                            starts.append(a)
-                            stops.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, ks, starts, stops)], ["id", "k", "start", "stop"])
-
-    return dealt.mapInArrow(run, "id long, k long, start long, stop long")
-
-
-def common_lines(documents: DataFrame, *, min_words: int = 10, line_words: int = 3, rare: int = 1000) -> DataFrame:
+def common_lines(documents: DataFrame, *, min_words: int = 10) -> DataFrame:
     """``id, k, spans``: for each text (``k``: its xxhash64) the line ranges that an earlier document has."""
-    sequences = written(_sequences(documents).dropDuplicates(["id", "k"]), "sequences")
-    holders = _holders(sequences, line_words)
-    # Written, so that the join below is one whose hot lines are split or, where recurring lines are few, a broadcast one.
-    firsts = holders.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("latest"), F.count(F.lit(1)).alias("df")).where("latest > first")
-    firsts = written(firsts.select("h", "first", "df"), "firsts")
-    shared = holders.join(firsts, "h").where("id > first").select("id", "k", "first", "n", (F.col("df") <= rare).cast("int").alias("rare"))
-    pairs = written(shared.groupBy("id", "k", "first").agg(F.sum("n").alias("n"), F.max("rare").alias("rare")).where((F.col("rare") == 1) | (F.col("n") >= min_words)).select("id", "k", "first"), "pairs")
-    salts = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("salts"))
-    later = pairs.join(salts, "first").join(sequences, ["id", "k"]).select("first", F.expr("pmod(xxhash64(id, k), salts)").alias("salt"), "id", "k", "hashes", "words")
-    none = F.lit(None).cast("long")
-    earlier = sequences.withColumnRenamed("id", "first").join(salts, "first").select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), none.alias("id"), "k", "hashes", "words")
-    dealt = earlier.unionByName(later).repartition("first", "salt").sortWithinPartitions("first", "salt", F.col("id").asc_nulls_first(), "k")
-    return _aligned(dealt, min_words).groupBy("id", "k").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    held = written(_windows(documents, min_words), "windows")
+    # Written, so that the join below is one whose hot windows are split or, where recurring windows are few, a broadcast one.
+    firsts = written(held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("latest")).where("latest > first").select("h", "first"), "firsts")
+    shared = held.join(firsts, "h").where("id > first")
+    return shared.groupBy("id", "k").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 RESULT = "n_lines long, n_words long, n_removed_lines long, n_removed_words long, n_blocks long, kept_sha256 string"
 
 
-def dedup_lines(documents: DataFrame, *, min_words: int = 10, line_words: int = 3, rare: int = 1000) -> DataFrame:
+def dedup_lines(documents: DataFrame, *, min_words: int = 10) -> DataFrame:
     """The documents with ``text`` reduced, and what was removed in columns of ``RESULT`` (input columns of these names give way).
 
     A null or empty text, and a row with a null id, stays as it is.  Rows that
-    repeat an id are aligned with smaller ids only.  A text that an earlier
-    document has as a whole is left empty.  Line feeds between kept lines stay.
+    repeat an id are compared with smaller ids only.  A text of ``min_words``
+    words or more that an earlier document has as a whole is left empty.  Line feeds between kept lines stay.
     An empty table gives no rows.
     """
     extra = {x.split()[0] for x in RESULT.split(", ")}
     kept = [c for c in documents.columns if c not in extra]
-    spans = common_lines(documents, min_words=min_words, line_words=line_words, rare=rare).withColumnsRenamed({"id": "_id", "k": "_k", "spans": "_spans"})
+    spans = common_lines(documents, min_words=min_words).withColumnsRenamed({"id": "_id", "k": "_k", "spans": "_spans"})
     joined = documents.select(*kept).join(spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_k")), "left").drop("_id", "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +212,7 @@ def dedup_lines(documents: DataFrame, *, min_words: int = 10, line_words: int =
 
 
 def without_common_lines(documents: DataFrame, **limits) -> DataFrame:
-    """The documents' columns; texts without aligned common blocks, documents left without words dropped where blocks were removed."""
+    """The documents' columns; texts without the runs that an earlier document has, documents left without words dropped where blocks were removed."""
     own = {c: f"_own_{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
     out = dedup_lines(documents.withColumnsRenamed(own), **limits).where("n_removed_lines = 0 OR n_removed_words < n_words")
     return out.select(*[out[own.get(c, c)].alias(c) for c in documents.columns])
