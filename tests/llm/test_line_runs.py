@@ -61,3 +61,11 @@ def test_repeated_ids_and_edges(spark):
     kept = sorted((str(r.doc_id), r.text) for r in line_dedup.without_common_lines(df).collect())
     assert kept == sorted([("1", text), ("1", text), ("1", "x"), ("None", text)])
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_passages_in_other_order_and_held_twice(spark):
+    p, q, r = line("p", 12), line("q", 12), line("r", 60)
+    rows = [(1, f"{p}\nx\n{q}"), (2, f"y\n{q}\nz\n{p}\nv"), (3, f"c\n{r}\nd\n{r}\ne"), (4, f"f\n{r}\ng"), (5, f"h\n{r}\ni\n{r}\nj")]
+    got = dedup(spark, rows)
+    assert got == brute(rows)
+    assert got[2] == "y\nz\nv" and got[4] == "f\ng" and got[5] == "h\ni\nj"
