@@ -69,3 +69,10 @@ def test_passages_in_other_order_and_held_twice(spark):
     got = dedup(spark, rows)
     assert got == brute(rows)
     assert got[2] == "y\nz\nv" and got[4] == "f\ng" and got[5] == "h\ni\nj"
+
+
+def test_block_in_more_than_a_thousand_documents(spark):
+    a, b, c = line("a", 9), line("b", 9), line("c", 9)
+    block = f"{a}\n{b}\n{c}"
+    rows = [(1, a), (2, b), *((i, block) for i in range(3, 1100))]
+    assert dedup(spark, rows) == {1: a, 2: b, 3: block, **{i: "" for i in range(4, 1100)}}
