@@ -76,3 +76,11 @@ def test_block_in_more_than_a_thousand_documents(spark):
     block = f"{a}\n{b}\n{c}"
     rows = [(1, a), (2, b), *((i, block) for i in range(3, 1100))]
     assert dedup(spark, rows) == {1: a, 2: b, 3: block, **{i: "" for i in range(4, 1100)}}
+
+
+def test_lines_of_one_or_two_words(spark):
+    words = "\n".join(f"w{k}" for k in range(12))
+    cells = "\n".join(f"日本{k} 語" for k in range(6))
+    rows = [(1, words), (2, words), (3, cells), (4, f"head\n{cells}\nend")]
+    got = dedup(spark, rows)
+    assert got == brute(rows) and got[2] == "" and got[4] == "head\nend"
