@@ -1,10 +1,17 @@
-"""Line dedup by shared runs of lines.
-
-1. Every text becomes a sequence of 64-bit line hashes.
-2. From each line the shortest run onwards, and the shortest run backwards,
-   that has ``min_words`` words is hashed as a whole: its windows.
-3. The least id of each window is its first holder.  A window whose first
-   holder is an earlier document is deleted from the later one.
+"""Line dedup by pairwise alignment.
+
+1. Every text becomes a sequence of line hashes.  From each line the shortest
+   run onwards, and the shortest run backwards, that has ``min_words`` words is
+   a window; most are single lines.  A line of fewer words is too common to
+   tell that two documents overlap, so it counts with its neighbours only.
+2. Documents meet through shared windows: each is paired with the first holder
+   of every window that it has.  A pair carries the lines that its windows
+   cover and where they lie on both sides, so the work follows the text that
+   two documents share, however long they are and however many share it.
+3. The pair's lines are aligned by patience diff, and aligned blocks of
+   ``min_words`` words are deleted from the later document.  A diff keeps one
+   order: windows that it leaves out, since their passage stands elsewhere or
+   is repeated, are aligned singly and go too.
 
 Each line of a run of ``min_words`` words or more lies in a window that ends
 inside that run: the one onwards from the run's start or the one backwards from
@@ -20,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.shared import written
 
-SPACE = " \t\n\v\f\r"
+LOW = (1 << 64) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -35,47 +44,71 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first line and end of the shortest runs of ``min_words`` words from each line onwards and backwards.
+class Lines:
+    """A text's lines: words of each, places of those with words, and these woven as hash, gap, hash, gap, ...
 
-    A run is its lines without outer white space; lines without words count as
-    such.  Equal runs have equal keys.  Work is linear in the text.
+    Lines are compared without outer white space; a gap is the distance to the
+    next line with words.  Windows are found by one half of the 128-bit line
+    hashes and aligned by the other.
+    """
+
+    def __init__(self, text: str):
+        import xxhash
+
+        lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+        self.words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+        self.at = np.flatnonzero(self.words)
+        whole = [xxhash.xxh3_128_intdigest(lines[i].strip()) for i in self.at]
+        self.keys = np.fromiter((h >> 64 for h in whole), np.uint64, len(whole))
+        self.woven = np.zeros(2 * len(whole), np.uint64)
+        self.woven[::2] = np.fromiter((h & LOW for h in whole), np.uint64, len(whole))
+        self.woven[1:-1:2] = np.diff(self.at)
+        self.raw = self.woven.tobytes()
+
+    def core(self, i: int, j: int) -> bytes:
+        """The lines with words from number ``i`` to ``j``, and the gaps between them."""
+        return self.raw[16 * i : 16 * j + 8]
+
+
+def windows(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Key, first line, end and core of the shortest runs of ``min_words`` words from each line onwards and backwards.
+
+    Equal runs have equal keys.  Work is linear in the text.
     """
     import xxhash
 
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
-    at = np.flatnonzero(words)  # lines with words; the others enter as gaps between these
-    total = np.concatenate([[0], np.cumsum(words[at])])
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(lines[i].strip()) | 1 for i in at), np.uint64, len(at))
+    at, n_lines = lines.at, len(lines.words)
+    total = np.concatenate([[0], np.cumsum(lines.words[at])])
     # Each line's last, by its shortest run onwards, and the first of the shortest run backwards.
     last = np.searchsorted(total, total[:-1] + min_words) - 1
     first = np.searchsorted(total, total[1:] - min_words, "right") - 1
     onwards = np.flatnonzero(last < len(at))
     backwards = np.flatnonzero(first >= 0)
-    woven = np.zeros(2 * len(at), np.uint64)
-    woven[::2] = hashes
-    woven[1:-1:2] = np.diff(at)
+    woven = lines.woven.copy()
+    woven[::2] = lines.keys
     raw = woven.tobytes()
 
     def keys(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = hashes[i]
+        out = lines.keys[i]
         for n in np.flatnonzero(i < j).tolist():
             out[n] = xxhash.xxh3_64_intdigest(raw[16 * i[n] : 16 * j[n] + 8])
         return out
 
     one, two = keys(onwards, last[onwards]), keys(first[backwards], backwards)
     own = last[first[backwards]] != backwards  # not a run onwards too
-    found = [(one, at[onwards], at[last[onwards]] + 1), (two[own], at[first[backwards]][own], at[backwards][own] + 1)]
+    found = [(one, onwards, last[onwards], at[onwards], at[last[onwards]] + 1), (two[own], first[backwards][own], backwards[own], at[first[backwards]][own], at[backwards][own] + 1)]
     # Lines without words before a run onwards and after one backwards: its key and their number.
     step = np.uint64(0x9E3779B97F4A7C15)
     before = np.diff(at, prepend=-1)[onwards] - 1
     n = np.arange(before.sum()) - np.repeat(np.cumsum(before) - before, before) + 1
-    found.append((_mixed(np.repeat(one, before) + n.astype(np.uint64) * step), np.repeat(at[onwards], before) - n, np.repeat(at[last[onwards]] + 1, before)))
-    after = np.diff(at, append=len(lines))[backwards] - 1
+    i = np.repeat(onwards, before)
+    found.append((_mixed(np.repeat(one, before) + n.astype(np.uint64) * step), i, last[i], at[i] - n, at[last[i]] + 1))
+    after = np.diff(at, append=n_lines)[backwards] - 1
     n = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + 1
-    found.append((_mixed(np.repeat(two, after) - n.astype(np.uint64) * step), np.repeat(at[first[backwards]], after), np.repeat(at[backwards] + 1, after) + n))
-    return tuple(map(np.concatenate, zip(*found)))
+    j = np.repeat(backwards, after)
+    found.append((_mixed(np.repeat(two, after) - n.astype(np.uint64) * step), first[j], j, at[first[j]], at[j] + 1 + n))
+    key, i, j, start, stop = map(np.concatenate, zip(*found))
+    return key, start, stop, [lines.core(a, b) for a, b in zip(i.tolist(), j.tolist())]
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,7 +146,6 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
     A range gives its common head and tail, then the longest rising run of
     lines that both have once; what lies between these is treated likewise.
-    The search for shared runs does not use it, since it leaves some out.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -143,61 +175,118 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def aligned(later: Lines, shared: list[tuple[int, int, int, bytes]], min_words: int) -> list[tuple[int, int]]:
+    """Line ranges of the later document that a pair deletes, from its shared windows (start in the earlier one; start, stop; core)."""
+    out, lines, follows, mine, verified = [], {}, {}, set(), []
+    for start_e, start, stop, core in shared:
+        i = bisect.bisect_left(later.at, start)
+        c = np.frombuffer(core, np.uint64)
+        place = start_e + int(later.at[i]) - start
+        lines[place] = int(c[0])
+        for h, gap in zip(c[2::2].tolist(), c[1::2].tolist()):
+            follows[place] = gap
+            place += gap
+            lines[place] = h
+        j = i + len(c) // 2
+        mine.update(range(i, j + 1))
+        if later.core(i, j) == core:
+            verified.append((start, stop))
+    theirs, own = sorted(lines), sorted(mine)
+    at, words = later.at[own].tolist(), later.words[later.at[own]].tolist()
+    pairs = patience([lines[p] for p in theirs], later.woven[::2][own].tolist())
+    k = 0
+    while k < len(pairs):
+        a, b = pairs[k]
+        n = 1
+        while k + n < len(pairs) and pairs[k + n] == (a + n, b + n) and own[b + n] == own[b] + n:
+            gap = at[b + n] - at[b + n - 1]
+            if follows.get(theirs[a + n - 1]) != gap or theirs[a + n] - theirs[a + n - 1] != gap:
+                break
+            n += 1
+        if sum(words[b : b + n]) >= min_words:
+            out.append((at[b], at[b + n - 1] + 1))
+        k += n
+    return out + verified
+
+
+HELD = "h long, id long, k long, start int, stop int, core binary"
+
+
 def _windows(documents: DataFrame, min_words: int) -> DataFrame:
     """A row for each window of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = [windows(t.as_py(), min_words) for t in part.column(2)]
-                take = pa.array(np.repeat(np.arange(len(got)), [len(h) for h, _, _ in got]))
-                h, start, stop = map(np.concatenate, zip(*got))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["h", "id", "k", "start", "stop"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                got = [windows(Lines(t.as_py()), min_words) for t in part.column(2)]
+                take = pa.array(np.repeat(np.arange(len(got)), [len(h) for h, *_ in got]))
+                h, start, stop = (np.concatenate(x) for x in list(zip(*got))[:3])
+                cores = pa.array([c for g in got for c in g[3]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), cores], [c.split()[0] for c in HELD.split(", ")])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    return texts.mapInArrow(run, "h long, id long, k long, start int, stop int")
+    return texts.mapInArrow(run, HELD)
 
 
-def common_lines(documents: DataFrame, *, min_words: int = 10) -> DataFrame:
-    """``id, k, spans``: for each text (``k``: its xxhash64) the line ranges that an earlier document has."""
+def shared_windows(documents: DataFrame, *, min_words: int = 10) -> DataFrame:
+    """``id, k, shared``: for each text (``k``: its xxhash64) the windows that an earlier document has: its id and start there, start, stop and core."""
     held = written(_windows(documents, min_words), "windows")
     # Written, so that the join below is one whose hot windows are split or, where recurring windows are few, a broadcast one.
-    firsts = written(held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("latest")).where("latest > first").select("h", "first"), "firsts")
-    shared = held.join(firsts, "h").where("id > first")
-    return shared.groupBy("id", "k").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    holders = held.groupBy("h").agg(F.min(F.struct("id", "start", "core")).alias("e"), F.max("id").alias("latest")).where("latest > e.id")
+    firsts = written(holders.select("h", F.col("e.id").alias("first"), F.col("e.start").alias("start_e"), F.col("e.core").alias("core")), "firsts")
+    met = held.drop("core").join(firsts, "h").where("id > first")
+    return met.groupBy("id", "k").agg(F.collect_set(F.struct("first", "start_e", "start", "stop", "core")).alias("shared"))
 
 
 RESULT = "n_lines long, n_words long, n_removed_lines long, n_removed_words long, n_blocks long, kept_sha256 string"
 
 
+def _pairs(column: pa.ListArray) -> Iterator[list[list[tuple[int, int, int, bytes]]]]:
+    """For each row the shared windows of each of its pairs."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    first, *places = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    cores = flat.field(4)
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        order = a + np.argsort(first[a:b], kind="stable")
+        cuts = np.flatnonzero(np.diff(first[order])) + 1
+        yield [list(zip(*(p[some].tolist() for p in places), cores.take(pa.array(some)).to_pylist())) for some in np.split(order, cuts)] if b > a else []
+
+
 def dedup_lines(documents: DataFrame, *, min_words: int = 10) -> DataFrame:
     """The documents with ``text`` reduced, and what was removed in columns of ``RESULT`` (input columns of these names give way).
 
     A null or empty text, and a row with a null id, stays as it is.  Rows that
-    repeat an id are compared with smaller ids only.  A text of ``min_words``
+    repeat an id are aligned with smaller ids only.  A text of ``min_words``
     words or more that an earlier document has as a whole is left empty.  Line feeds between kept lines stay.
     An empty table gives no rows.
     """
     extra = {x.split()[0] for x in RESULT.split(", ")}
     kept = [c for c in documents.columns if c not in extra]
-    spans = common_lines(documents, min_words=min_words).withColumnsRenamed({"id": "_id", "k": "_k", "spans": "_spans"})
-    joined = documents.select(*kept).join(spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_k")), "left").drop("_id", "_k")
+    shared = shared_windows(documents, min_words=min_words).withColumnsRenamed({"id": "_id", "k": "_k", "shared": "_shared"})
+    joined = documents.select(*kept).join(shared, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_k")), "left").drop("_id", "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 out: list[tuple] = []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist()):
+                for text, pairs in zip(part.column("text").to_pylist(), _pairs(part.column("_shared"))):
                     lines = (text or "").split("\n")
-                    sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
+                    if pairs:
+                        later = Lines(text)
+                        sizes = later.words.tolist()
+                    else:
+                        sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
                     gone = bytearray(len(lines))
-                    for s in spans or ():
-                        gone[s["start"] : s["stop"]] = b"\1" * (s["stop"] - s["start"])
+                    for pair in pairs:
+                        for start, stop in aligned(later, pair, min_words):
+                            gone[start:stop] = b"\1" * (stop - start)
                     cut = sum(gone)
                     new = "\n".join(x for x, g in zip(lines, gone) if not g) if cut else text
-                    blocks = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+                    blocks = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)) if cut else 0
                     digest = hashlib.sha256((new or "").encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((new, len(lines) if text else 0, sum(sizes), cut, sum(s for s, g in zip(sizes, gone) if g), blocks, digest))
                 found = list(zip(*out))
@@ -205,8 +294,6 @@ def dedup_lines(documents: DataFrame, *, min_words: int = 10) -> DataFrame:
                 arrays += [pa.array(x, pa.int64()) for x in found[1:6]] + [pa.array(found[6], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, [*kept, *(x.split()[0] for x in RESULT.split(", "))])
 
-    import pyspark.sql.types as T
-
     schema = T.StructType([documents.schema[c] for c in kept] + list(T.StructType.fromDDL(RESULT)))
     return joined.mapInArrow(run, schema)
 

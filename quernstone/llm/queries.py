@@ -75,6 +75,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+_OP1_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE coalesce(text, '') <> ''),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM d),
+m AS (SELECT doc_id, line, pos, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+s AS (SELECT *, row_number() OVER w AS i, pos - coalesce(lag(pos) OVER w, -1) - 1 AS above, coalesce(lead(pos) OVER w, size) - pos - 1 AS below
+      FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS size FROM m) WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT e.doc_id AS e, d.doc_id AS d, d.i - e.i AS diag, d.i AS i, d.n AS n, d.pos AS pos, d.above = e.above AS same, least(d.above, e.above) AS above, least(d.below, e.below) AS below
+      FROM s d JOIN s e ON e.key = d.key AND e.doc_id < d.doc_id),
+g AS (SELECT *, sum(CASE WHEN same AND was = i - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY e, d, diag ORDER BY i) AS run
+      FROM (SELECT *, lag(i) OVER (PARTITION BY e, d, diag ORDER BY i) AS was FROM p)),
+r AS (SELECT DISTINCT d AS doc_id, min(pos) - arg_min(above, i) AS a, max(pos) + 1 + arg_max(below, i) AS b FROM g GROUP BY e, d, diag, run HAVING sum(n) >= 10),
+c AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS pos FROM r),
+k AS (SELECT m.doc_id, count(*) AS n_lines, sum(m.n) AS n_words, count(c.pos) AS cut, coalesce(sum(m.n) FILTER (c.pos IS NOT NULL), 0) AS cut_words, string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (c.pos IS NULL) AS kept
+      FROM m LEFT JOIN c ON c.doc_id = m.doc_id AND c.pos = m.pos GROUP BY m.doc_id),
+h AS (SELECT doc_id, count(*) AS n_blocks FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM c) WHERE was IS NULL OR was < pos - 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(cut, 0) AS BIGINT) AS n_removed_lines,
+       CAST(coalesce(cut_words, 0) AS BIGINT) AS n_removed_words, CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id
+"""
+
 _OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -129,4 +149,4 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op6_repeats": _OP6_SQL, "op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op2_near_duplicates": _OP2_SQL, "op6_repeats": _OP6_SQL, "op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL}

@@ -1,72 +1,64 @@
-"""Line dedup against a plain version of the same rules."""
+"""Patience diff, and the alignment of a pair's shared windows."""
 
 import random
 
 from quernstone.llm import line_dedup
 from quernstone.llm.shared import ship
 
+from .test_line_runs import brute, line
 
-def plain(rows, min_words=10, line_words=3, rare=1000):
-    """doc_id -> remaining text, for distinct non-null ids."""
-    rows = sorted(rows)
-    n = lambda x: len(x.encode().split())
-    lines = {i: [x.encode().strip() if n(x) else b"" for x in (t or "").split("\n")] for i, t in rows}
-    first, df = {}, {}
-    for i, _ in rows:
-        for x in set(lines[i]):
-            first.setdefault(x, i)
-            df[x] = df.get(x, 0) + 1
-    out = {}
-    for i, t in rows:
-        gone = set()
-        partners = {}
-        for x in set(lines[i]):
-            if len(x.split()) >= line_words and first[x] < i:
-                partners.setdefault(first[x], []).append(x)
-        for e, shared in partners.items():
-            if any(df[x] <= rare for x in shared) or sum(len(x.split()) for x in shared) >= min_words:
-                pairs = line_dedup.patience(lines[e], lines[i])
-                assert all(lines[e][a] == lines[i][b] for a, b in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-                while pairs:
-                    run = [pairs.pop(0)]
-                    while pairs and pairs[0] == (run[-1][0] + 1, run[-1][1] + 1):
-                        run.append(pairs.pop(0))
-                    if sum(len(lines[i][b].split()) for _, b in run) >= min_words:
-                        gone |= {b for _, b in run}
-        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if t and gone else t
-    return out
 
+def test_patience():
+    assert line_dedup.patience([1, 2, 3, 4], [1, 2, 9, 3, 4]) == [(0, 0), (1, 1), (2, 3), (3, 4)]
+    assert line_dedup.patience([5, 1, 2, 6], [7, 2, 1, 8, 2]) in ([(1, 2)], [(2, 1)], [(1, 2), (2, 4)])
+    assert line_dedup.patience([], [1]) == []
 
-def test_documents_match_plain_version(spark):
-    ship(spark)
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = plain([(r.doc_id, r.text) for r in df.collect()])
-    got = line_dedup.dedup_lines(df).collect()
-    assert {r.doc_id: r.text for r in got} == want
-    assert sum(r.n_blocks > 0 for r in got) > 100
+
+def pair(earlier, later):
+    """Line ranges that the pair deletes, with its windows found here by key."""
+    e, d = line_dedup.Lines(earlier), line_dedup.Lines(later)
+    first = {}
+    for h, start, _, core in zip(*line_dedup.windows(e, 10)):
+        first.setdefault(h, (int(start), core))
+    shared = [(first[h][0], int(a), int(b), first[h][1]) for h, a, b, _ in zip(*line_dedup.windows(d, 10)) if h in first]
+    return line_dedup.aligned(d, shared, 10)
+
+
+def test_aligned_blocks():
+    a, b, c, p = line("a", 6), line("b", 6), line("c", 6), line("p", 12)
+    # One block over several lines, blank ones between included.
+    assert set(pair(f"{a}\n\n{b}\n{c}\nx", f"y\n{a}\n\n{b}\n{c}")) >= {(1, 5)}
+    # Lines that both have, but with other gaps: no run of ten words.
+    assert pair(f"{a}\n\n{b}", f"{a}\n{b}") == []
+    # Neighbours in one document only.
+    assert pair(f"{a}\n{b}\nx\n{b}\n{c}", f"{b}\n{a}\n{c}\n{b}") == []
+    # A repeated passage, which no diff can anchor.
+    assert set(pair(f"{p}\nq\n{p}", f"r\n{p}\ns\n{p}\nt")) == {(1, 2), (3, 4)}
 
 
-def test_hot_first_holder_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "PARTNERS", 3)
+def test_windows_are_verified_on_the_lines():
+    p, q = line_dedup.Lines(line("p", 12)), line_dedup.Lines(line("q", 12))
+    assert line_dedup.aligned(q, [(0, 0, 1, p.core(0, 0))], 10) == []
+
+
+def test_many_partners_and_edges(spark):
     ship(spark)
     rng = random.Random(2)
-    line = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 15)))
-    pool = [line() for _ in range(12)]
-    rows = [(i, "\n".join(rng.choice([*pool, line(), "", " "]) for _ in range(rng.randint(1, 20)))) for i in range(80)]
-    rows += [(80, None), (81, ""), (82, "\n"), (83, rows[5][1]), (84, "\n".join([*pool] * 3000))]
+    some = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 15)))
+    pool = [some() for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice([*pool, some(), "", " "]) for _ in range(rng.randint(1, 20)))) for i in range(80)]
+    rows += [(80, None), (81, ""), (82, "\n"), (83, rows[5][1]), (84, "\n".join(pool * 40)), (85, "\n" * 3000 + "\n".join(pool)), (86, "\n" * 2000 + "\n".join(pool) + "\n" * 50)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_words int")
-    for rare in (1, 1000):
-        got = line_dedup.dedup_lines(df, rare=rare)
-        assert {r.doc_id: r.text for r in got.collect()} == plain(rows, rare=rare)
-    assert {r.doc_id: r.text for r in got.collect()}[83] == ""
-    repeated = spark.createDataFrame([(1, rows[5][1]), (1, rows[5][1]), (1, "x"), (None, rows[5][1]), (2, rows[5][1])], "doc_id long, text string")
-    kept = sorted((str(r.doc_id), r.text) for r in line_dedup.without_common_lines(repeated).collect())
-    assert {r.n_words for r in line_dedup.without_common_lines(repeated.withColumn("n_words", repeated["doc_id"] * 0 - 5)).collect()} <= {-5, None}
-    assert kept == sorted([("1", rows[5][1]), ("1", rows[5][1]), ("1", "x"), ("None", rows[5][1])])
-    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute(rows) and got[83] == ""
+    clash = line_dedup.without_common_lines(df.selectExpr("doc_id", "text", "-5 AS n_words"))
+    assert clash.columns == ["doc_id", "text", "n_words"] and {r.n_words for r in clash.collect()} == {-5}
 
 
-def test_patience():
-    assert line_dedup.patience([1, 2, 3, 4], [1, 2, 9, 3, 4]) == [(0, 0), (1, 1), (2, 3), (3, 4)]
-    assert line_dedup.patience([5, 1, 2, 6], [7, 2, 1, 8, 2]) in ([(1, 2)], [(2, 1)], [(1, 2), (2, 4)])
-    assert line_dedup.patience([], [1]) == []
+def test_long_document_of_others_passages(spark):
+    ship(spark)
+    passages = [line(f"s{k}x", 12) for k in range(3000)]
+    rows = [*enumerate(passages), (5000, "\n".join(["head", *passages[::-1], "tail"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_blocks) for r in line_dedup.dedup_lines(df).collect()}
+    assert got.pop(5000) == ("head\ntail", 3000, 1) and got == {i: (t, 0, 0) for i, t in rows[:-1]}

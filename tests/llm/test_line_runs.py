@@ -13,7 +13,8 @@ def brute(rows, min_words=10):
     for i, t in rows:
         later, gone = seqs[i], set()
         size = [len(x.split()) for x in later]
-        for e in (e for e in seqs if e < i):
+        solid = {x: len(x.split()) for x in later if x}
+        for e in (e for e in seqs if e < i and any(x in solid for x in seqs[e])):
             before = [0] * (len(later) + 1)
             for x in seqs[e]:
                 now = [0] * (len(later) + 1)

@@ -1,12 +1,14 @@
 """The pipeline, stage by stage, against plain versions of the stages."""
 
+import re
+
 import duckdb
 import pytest
 
 from quernstone.llm import quality, queries
 from quernstone.llm.shared import new_path
 
-from .test_line_dedup import plain
+from .test_line_runs import brute as brute_lines
 from .test_near_dup import brute
 from .test_packing import check
 
@@ -30,7 +32,7 @@ def test_stages(spark):
     good = stage(spark, 0, rows)
     assert good == sorted((i, j["cleaned"]) for i, j in judged if j["kept"]) and len(good) > 0.5 * len(rows)
 
-    aligned = plain(good)
+    aligned = brute_lines(good)
     lines = stage(spark, 1, good)
     assert lines == sorted((i, aligned[i]) for i, t in good if aligned[i] == t or aligned[i].split())
 
@@ -43,8 +45,17 @@ def test_stages(spark):
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{D}/benchmark.parquet'")
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", single)
-    bad = {i for (i,) in con.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op8_decontamination']}) WHERE contaminated").fetchall()}
-    assert bad and clean == [(i, t) for i, t in single if i not in bad]
+    found = con.execute(f"SELECT doc_id, n_hit, contaminated FROM ({queries.ORACLE_SQL['op8_decontamination']})").fetchall()
+    bad, cut = {i for i, _, x in found if x}, {i: n for i, n, x in found if n and not x}
+    assert bad and cut and [i for i, _ in clean] == [i for i, _ in single if i not in bad]
+    words = lambda t: re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    before = dict(single)
+    for i, t in clean:
+        assert t == before[i] if i not in cut else len(words(t)) == len(words(before[i])) - cut[i]
+    items = [words(t) for (t,) in con.execute("SELECT text FROM benchmark").fetchall()]
+    grams = {tuple(w[k : k + 13]) for w in items if w for k in range(max(1, len(w) - 12))}
+    sizes = {len(g) for g in grams}
+    assert not any(tuple(w[k : k + n]) in grams for _, t in clean for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))
 
     got = corpus_pipeline.run(spark, D).collect()
     assert check(clean, got, queries.tokenizer_path("word_bpe_49k.json")) < 0.02
