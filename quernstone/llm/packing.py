@@ -78,17 +78,17 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]], first_id: int) -> d
     return dict(zip(("length", "rank", "sequence", "offset"), np.ascontiguousarray(table.T)))
 
 
-def _pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
+def _pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, specials_as_text: bool, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id, specials_as_text)
         ranks = np.zeros(size + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
-                doc, start, length, crc, total = [], [], [], [], []
+                doc, start, length, crc, total, pieces = [], [], [], [], [], []
                 for i, raw in enumerate(encode.many(texts), at):
                     ids = np.frombuffer(raw, encode.dtype).astype("<u4")
                     for a in range(0, len(ids), size):
@@ -98,26 +98,25 @@ def _pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int) -> Dat
                         length.append(len(piece))
                         crc.append(zlib.crc32(piece))
                         total.append(len(ids))
+                        if with_ids:
+                            pieces.append(piece.tobytes())
                 rank = []
                 for n in length:
                     rank.append(ranks[n])
                     ranks[n] += 1
                 arrays = [pa.array(np.full(len(doc), part, np.int64)), batch.column(0).take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, rank))]
-                yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"])
+                arrays += [pa.array(pieces, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", *["ids"] * with_ids])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long")
+    return rows.mapInArrow(run, "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long" + ", ids binary" * with_ids)
 
 
-def pack(documents: DataFrame, tokenizer: str, *, end_id: int, size: int = 2048) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-    Every text (null: empty) is encoded and gets ``end_id``; each id lies in
-    exactly one piece of ``size`` ids at most.  Sequences are numbered from 0,
-    pieces lie in them without gaps.  Repeated rows, rows that share an id and
-    null ids are packed like any other; an empty table gives no rows.
-    """
-    pieces = written(_pieces(documents, tokenizer, end_id, size), "pieces")
+
+def _placed(documents: DataFrame, tokenizer: str, end_id: int, size: int, specials_as_text: bool, with_ids: bool) -> DataFrame:
+    pieces = written(_pieces(documents, tokenizer, end_id, size, specials_as_text, with_ids), "pieces")
     here = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     whole = counts.pop(size, 0)
@@ -125,16 +124,28 @@ def pack(documents: DataFrame, tokenizer: str, *, end_id: int, size: int = 2048)
     key = table["length"] << 48 | table["rank"]
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = here.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("rank")).alias("rank"))
+    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("rank")).alias("rank"), *["ids"] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
             at = np.searchsorted(key, length << 48 | rank, side="right") - 1
             sequence = table["sequence"][at] + rank - table["rank"][at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(table["offset"][at])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            names = [c.split()[0] for c in PLACED.split(", ")] + ["ids"] * with_ids
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(table["offset"][at]), *batch.columns[6:]], names)
+
+    return ranked.mapInArrow(run, PLACED + ", ids binary" * with_ids)
+
 
-    return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def pack(documents: DataFrame, tokenizer: str, *, end_id: int, size: int = 2048, specials_as_text: bool = False) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+
+    Every text (null: empty) is encoded and gets ``end_id``; each id lies in
+    exactly one piece of ``size`` ids at most.  Sequences are numbered from 0,
+    pieces lie in them without gaps.  Repeated rows, rows that share an id and
+    null ids are packed like any other; an empty table gives no rows.
+    """
+    return _placed(documents, tokenizer, end_id, size, specials_as_text, False)
 
 
 def padding(length: int, size: int) -> int:
@@ -142,27 +153,20 @@ def padding(length: int, size: int) -> int:
     return 0 if length & (length - 1) == 0 else size - length
 
 
-def sequences(documents: DataFrame, tokenizer: str, *, end_id: int, size: int = 2048) -> DataFrame:
+def sequences(documents: DataFrame, tokenizer: str, *, end_id: int, size: int = 2048, specials_as_text: bool = False) -> DataFrame:
     """The packed sequences: ``sequence_id, ids, doc_ids, starts`` (of each piece in the sequence), without padding.
 
-    Documents must have distinct ids that are not null.
+    A piece carries its ids to its sequence, so repeated rows, rows that share
+    an id and null ids are packed like any other.
     """
-    places = pack(documents, tokenizer, end_id=end_id, size=size)
+    placed = _placed(documents, tokenizer, end_id, size, specials_as_text, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                doc, start, ids = [], [], []
-                for i, raw in enumerate(encode.many([t or "" for t in batch.column(1).slice(at, 64).to_pylist()]), at):
-                    got = np.frombuffer(raw, encode.dtype).astype(np.int32)
-                    for a in range(0, len(got), size):
-                        doc.append(i)
-                        start.append(a)
-                        ids.append(got[a : a + size])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+                part = batch.slice(at, 64)
+                ids = [np.frombuffer(b"".join(x), "<i4") for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), part.column(2), part.column(3)], ["sequence_id", "ids", "doc_ids", "starts"])
 
-    cut = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, ids array<int>")
-    placed = cut.join(places.select("doc_id", "start", "sequence_id", "offset"), ["doc_id", "start"])
     together = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("x"))
-    return together.select("sequence_id", F.flatten("x.ids").alias("ids"), F.col("x.doc_id").alias("doc_ids"), F.col("x.offset").alias("starts"))
+    return together.select("sequence_id", "x.ids", "x.doc_id", "x.offset").mapInArrow(run, "sequence_id long, ids array<int>, doc_ids array<long>, starts array<long>")

@@ -3,7 +3,8 @@
 The vocabularies split a text into pieces that are merged independently, so a
 piece's ids never change with its neighbours.  Pieces recur; each is encoded
 by the tokenizers library once and looked up afterwards.  A text in which the
-cut at spaces could differ from the tokenizer's own is encoded as a whole.
+cut at spaces could differ from the tokenizer's own is encoded as a whole, and
+so is one that holds the string of a special token.
 """
 
 from __future__ import annotations
@@ -23,14 +24,19 @@ TOGETHER = 500
 
 
 class Encoder:
-    """``encoder(text)`` gives the ids, ``end_id`` appended, as bytes of ``dtype``."""
+    """``encoder(text)`` gives the ids, ``end_id`` appended, as bytes of ``dtype``.
 
-    def __init__(self, path: str, end_id: int):
+    The ids are those of the library's plain call: the string of a special
+    token in a text is that token, unless ``specials_as_text`` is set.
+    """
+
+    def __init__(self, path: str, end_id: int, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = specials_as_text
+        self.specials = [] if specials_as_text else sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = array(self.code, [end_id]).tobytes()
@@ -118,6 +124,11 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, ``end_id`` appended."""
+        if any(s in t for s in self.specials for t in texts):
+            odd = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+            alone = iter(self.whole([texts[i] for i in sorted(odd)]))
+            rest = iter(self.many([t for i, t in enumerate(texts) if i not in odd]))
+            return [next(alone) + self.end if i in odd else next(rest) for i in range(len(texts))]
         if len(self.memo) >= MEMO:
             self.older, self.memo = self.memo, {}
         if self.spaced:
@@ -139,6 +150,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, specials_as_text: bool = False) -> Encoder:
     """One encoder per worker."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, specials_as_text)

@@ -12,10 +12,10 @@ from quernstone.llm.shared import ship
 
 
 def reference(path, end_id):
+    """The library's plain call."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, end_id]
 
 
@@ -79,12 +79,12 @@ def test_sequences_hold_the_ids(spark):
     ship(spark)
     path = tokenizer_path("word_bpe_49k.json")
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = df.union(df.where("doc_id < 5")).union(spark.createDataFrame([(None, "x y"), (None, "x y"), (3, "other words")], "doc_id long, text string"))
     encode = reference(path, 1)
-    texts = {r.doc_id: encode(r.text) for r in df.collect()}
-    seen = defaultdict(list)
+    want = sorted(tuple(encode(r.text)[a : a + 2048]) for r in df.collect() for a in range(0, len(encode(r.text)), 2048))
+    got = []
     for r in packing.sequences(df, path, end_id=1).collect():
-        for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(r.ids)]):
-            seen[doc].append(r.ids[a:b])
-    for doc, ids in texts.items():
-        full = sorted(seen[doc], key=lambda p: -len(p))
-        assert sum(map(len, full)) == len(ids) and sorted(x for p in full for x in p) == sorted(ids)
+        assert len(r.ids) <= 2048 and r.starts[0] == 0
+        got += [(doc, tuple(r.ids[a:b])) for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(r.ids)])]
+    assert sorted(ids for _, ids in got) == want
+    assert sum(doc is None for doc, _ in got) == 2 and sum(doc == 3 for doc, _ in got) >= 3
