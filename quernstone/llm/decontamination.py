@@ -4,13 +4,15 @@ Main path: DataFrame functions only.  Every window of ``window`` words of a
 document is reduced to a 64-bit probe made of five of its words, and the
 probes are looked up in the broadcast table of benchmark windows.  The few
 that meet one go back to their document, where all words of the window are
-compared, so a reported hit is exact.  The benchmark's size is measured before
-it is broadcast; beyond ``max_broadcast_windows`` the same join is a shuffled
+compared, so a reported hit is exact.  The windows' bytes are summed before
+they are broadcast; beyond ``max_broadcast_bytes`` the same join is a shuffled
 one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 ANY_CASE_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, the value computed once: what a lambda only captures is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     plain = F.length(text) == F.octet_length(text)
@@ -60,7 +67,7 @@ def _with_probe(windows: DataFrame, lengths: list[int]) -> DataFrame:
     return windows.withColumn("w_key", key)
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, max_broadcast_windows: int = 2_000_000) -> DataFrame:
+def find_hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document row: ``doc_id, text_hash, n_words, spans, items``.
 
     ``spans`` holds the verified windows as (start word, length); ``items`` the
@@ -69,10 +76,11 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, m
     a null id stays null.  An empty benchmark hits nothing.
     """
     windows = benchmark_windows(benchmark, window)
-    known = {r["w_len"]: r["n"] for r in windows.groupBy("w_len").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
-    lengths = sorted(known)
+    size = F.octet_length(F.concat_ws(" ", "w_words")) + F.octet_length(F.concat_ws(" ", "w_items")) + 16 * (F.size("w_words") + F.size("w_items")) + 64
+    known = windows.groupBy("w_len").agg(F.sum(size).alias("bytes")).collect()  # at most `window` rows
+    lengths = sorted(r["w_len"] for r in known)
     table = _with_probe(windows, lengths)
-    small = sum(known.values()) <= max_broadcast_windows
+    small = sum(r["bytes"] for r in known) <= max_broadcast_bytes
     table = F.broadcast(table) if small else table.hint("shuffle_hash")
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -89,7 +97,8 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, m
     met = probes.join(table, same).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("at", "len", "w_words", "w_items")).alias("met"))
     own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     joined = texts.join(met, own, "left").withColumn("ws", F.when(F.col("met").isNotNull(), words_of(F.col("text"))))
-    hits = F.filter("met", lambda m: F.slice("ws", m["at"] + 1, m["len"]) == m["w_words"])
+    # Transformed, so that a slice takes its words only and doesn't unpack the row's whole array.
+    hits = _let(F.transform("ws", lambda w: w), lambda ws: F.filter("met", lambda m: F.slice(ws, m["at"] + 1, m["len"]) == m["w_words"]))
     verified = joined.withColumn("hits", F.coalesce(hits, F.array().cast(met.schema["met"].dataType)))
     n_words = F.coalesce(F.when(F.col("ws").isNotNull(), F.size("ws")).otherwise(F.regexp_count("text", F.lit(ANY_CASE_WORD))), F.lit(0))
     spans = F.transform("hits", lambda m: F.struct(m["at"].alias("at"), m["len"].alias("len")))
@@ -97,21 +106,14 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, m
     return verified.select("doc_id", "text_hash", n_words.alias("n_words"), spans.alias("spans"), items.alias("items"))
 
 
-def hit_runs(spans: Column) -> Column:
-    """The spans as sorted runs ``a`` to ``b`` of words, without overlap."""
-    run = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
-
-    def add(runs: Column, s: Column) -> Column:
-        last, stop = F.element_at(runs, -1), s["at"] + s["len"]
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), run(last["a"], F.greatest(last["b"], stop)))
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["b"] >= s["at"]), longer).otherwise(F.concat(runs, run(s["at"], stop)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<a:int,b:int>>"), add)
+def hit_words(spans: Column) -> Column:
+    """Numbers of the words inside the spans, sorted, each once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))))
 
 
 def digest(hits: DataFrame, *, one_in: int = 20) -> DataFrame:
     """Counts and verdict: contaminated if at least one word in ``one_in`` is hit."""
-    n_hit = F.aggregate(hit_runs(F.col("spans")), F.lit(0).cast("long"), lambda n, r: n + (r["b"] - r["a"]))
+    n_hit = F.size(hit_words(F.col("spans"))).cast("long")
     return hits.select(
         "doc_id",
         "text_hash",
@@ -124,13 +126,15 @@ def digest(hits: DataFrame, *, one_in: int = 20) -> DataFrame:
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """``text`` without the words that lie inside a span and the gap before each."""
+    """``text`` without the words that lie inside a span and the gap before each.  Work is linear in the text."""
     words = F.concat(F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0)), F.array(F.lit("")))
     pieces = F.zip_with(F.split(text, ANY_CASE_WORD), words, lambda gap, word: F.concat(gap, word))
-    runs = hit_runs(spans)
-    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["b"]))
-    ends = F.concat(F.transform(runs, lambda r: r["a"]), F.array(F.lit(1 << 30)))
-    kept = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(pieces, a + 1, b - a), ""))
+    first = lambda hit: F.filter(hit, lambda p, i: (i == 0) | (F.get(hit, i - 1) != p - 1))
+    last = lambda hit: F.filter(hit, lambda p, i: (i == F.size(hit) - 1) | (F.get(hit, i + 1) != p + 1))
+    # What stays: from after each run of hit words to the next.
+    starts = lambda hit: F.concat(F.array(F.lit(0)), F.transform(last(hit), lambda p: p + 1))
+    ends = lambda hit: F.concat(first(hit), F.array(F.lit(1 << 30)))
+    kept = _let(pieces, lambda all_: _let(hit_words(spans), lambda hit: F.zip_with(starts(hit), ends(hit), lambda a, b: F.array_join(F.slice(all_, a + 1, b - a), ""))))
     return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(text)
 
 

@@ -24,7 +24,7 @@ def test_spans_and_edges(spark):
     by = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got}
     assert len(got) == len(docs)
     assert by == {1: (0, 0, 0, False), 2: (0, 0, 0, False), 3: (820, 20, 1, False), 4: (12, 0, 0, False), 5: (4, 4, 1, True), 6: (400, 0, 0, False), None: (20, 20, 1, True), 7: (15, 13, 1, True), 8: (120_020, 20, 1, False), 9: (8, 8, 1, True)}
-    shuffled = dc.digest(dc.find_hits(df, bench, max_broadcast_windows=0)).collect()
+    shuffled = dc.digest(dc.find_hits(df, bench, max_broadcast_bytes=0)).collect()
     assert sorted(map(str, shuffled)) == sorted(map(str, got))
     kept = dc.decontaminate(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "8"]
@@ -38,3 +38,11 @@ def test_main_path_is_native(spark):
     df, bench = tables(spark, [(1, ITEM, "x")])
     plan = dc.digest(dc.find_hits(df, bench))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_thousands_of_separate_runs(spark):
+    """Cutting is linear in the text: each of 5,000 passages goes."""
+    text = " ".join(f"{SHORT} w{k}" for k in range(5_000))
+    df, bench = tables(spark, [(1, text, "x")])
+    assert dc.digest(dc.find_hits(df, bench)).first().n_hit == 20_000
+    assert dc.decontaminate(df, bench, remove="spans").first().text.split() == [f"w{k}" for k in range(5_000)]
