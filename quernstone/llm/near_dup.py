@@ -34,8 +34,8 @@ from quernstone.llm.shingles import ODD, Words, mix, shingle_set
 
 #: Bounds of what a task examines together: documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 768, 1_500_000
-#: Ids that may be broadcast to pick candidates out of the documents; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 300_000
+#: Bytes of candidates with their tasks that may be broadcast to pick them out of the documents; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def signatures(documents: DataFrame, size: int = 5) -> DataFrame:
@@ -165,7 +165,8 @@ def _examine(percent: int):
 
 def _links(documents: DataFrame, picked: DataFrame, percent: int, size: int) -> DataFrame:
     """Verified links ``a, b`` among the candidates with their tasks, enough to tie all linked nodes together."""
-    few = picked.count() <= BROADCAST_IDS
+    size_of = F.lit(64) + F.octet_length("block") + F.octet_length(F.concat_ws(" ", "tasks")) + 16 * F.size("tasks")
+    few = (picked.agg(F.sum(size_of)).first()[0] or 0) <= BROADCAST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
@@ -196,7 +197,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, size: int = 5) -
     sets = marks.where("n > 0 AND doc_id IS NOT NULL")
     nodes = written(sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "nodes")
     # An id with several different texts ties their sets together.
-    clusters = components(_same_bucket(nodes).distinct())
+    clusters = components(_same_bucket(nodes))
     picked = written(_tasks(clusters, nodes, percent), "tasks")
     links = _links(documents, picked, percent, size)
     tied = sets.select("doc_id", "n", "k1", "k2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")

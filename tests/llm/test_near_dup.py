@@ -61,7 +61,7 @@ def test_documents_match_brute_force(spark, percent):
 
 def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_DOCS", 6)
-    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for k in range(60):  # one chain of gradual change in words and length
@@ -84,10 +84,39 @@ def test_edges(spark):
     assert near_dup.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 101), (300, 200), (200, 100), (7, None)]
+@pytest.mark.parametrize("few", [0, 10, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    """By rounds alone, by rounds and one task, by one task."""
+    from quernstone.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 101), (300, 200), (200, 100), (7, None), (400, 400)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(51)} | {i: 100 for i in (100, 101, 200, 300)}
+    assert got == {i: 0 for i in range(51)} | {i: 100 for i in (100, 101, 200, 300)} | {400: 400}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_tied_edges_at_random():
+    import numpy as np
+    import pyarrow as pa
+
+    from quernstone.llm.components import _tied
+
+    rng = np.random.default_rng(9)
+    for n in (2, 30, 400):
+        a, b = rng.integers(0, 500, n), rng.integers(0, 500, n)
+        root = {int(x): int(x) for x in (*a, *b)}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = sorted((top(x), top(y)))
+            root[q] = p
+        out = next(_tied(iter([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])])))
+        assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == {x: top(x) for x in root}
 
 
 def test_sketch_estimates_and_merges():
