@@ -1,10 +1,11 @@
 """Line-first quality rules.
 
-Every line is judged alone: punctuation, symbols, shouting, navigation,
-boilerplate, repetition inside the line and repetition of an earlier line.
-Failing lines are removed; a document that loses too much of its text goes.
-Base rules on the whole text (too few words, repeated three-word windows) come
-on top.  One pass over each text, no shuffle.
+Every line is judged by its own shape: punctuation, symbols, shouting, bare
+separators, links, repetition inside the line and repetition of an earlier
+line; short lines also by set phrases, and by legal marks where they stand at
+the document's head or foot.  Failing lines are removed; a document that loses
+too much of its text goes.  Base rules on the whole text (too few words,
+repeated three-word windows) come on top.  One pass over each text, no shuffle.
 """
 
 from __future__ import annotations
@@ -19,24 +20,41 @@ from pyspark.sql import types as T
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = re.compile(
-    r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here to|sign up for our|subscribe to our|"
-    r"lorem ipsum|powered by|back to top|skip to (?:main )?content|spdx-license-identifier|licensed under the|permission is hereby granted|copyright (?:\(c\)|©)",
-    re.IGNORECASE,
+# What pages say around their text, in the languages of the corpus.
+PHRASES = (
+    "all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here to|sign up for our|subscribe to our|"
+    "lorem ipsum|powered by|back to top|skip to (?:main )?content|spdx-license-identifier|licensed under the|permission is hereby granted|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|tous droits réservés|politique de confidentialité|conditions d.utilisation|mentions légales|"
+    "todos los derechos reservados|política de privacidad|política de cookies|aviso legal"
 )
-NAVIGATION = frozenset({b"|", b">", b"<", b"/", b"-", "»".encode(), "›".encode(), "·".encode(), "•".encode(), b"::", b"*"})
-ANY_PUNCTUATION = re.compile(r"[.,;:!?…。、！？؟।]")
+BOILERPLATE = re.compile(PHRASES, re.IGNORECASE)
+#: Legal marks, which tell at a document's head and foot only.
+LEGAL = r"©|®|™|\([cC]\) ?(?:19|20)[0-9][0-9]|[cC]opyright "
+LEGAL_MARK = re.compile(LEGAL)
+#: A word of marks alone: ASCII ones, those of Latin-1, general and CJK punctuation, arrows, boxes, bullets.
+MARKS = r"[!-/:-@\[-`{-~\u00a1-\u00bf\u00d7\u00f7\u2010-\u2bff\u3001-\u303f]+"
+SEPARATOR = re.compile(rf"(?<![^ \t-\r]){MARKS}(?![^ \t-\r])")
+LINKS = r"https?://[^ \t-\r<>]+|www\.[^ \t-\r<>]+|</?[A-Za-z][^<>]*>|\]\([^ \t-\r)]+\)"
+LINK = re.compile(LINKS)
+#: Sentence and clause marks of Latin, Greek, CJK, Devanagari, Arabic and Ethiopic script.
+PUNCTUATION = r"[.,;:!?\u2026\u00b7\u3002\u3001\uff0c\uff01\uff1f\u061f\u060c\u06d4\u0964\u1362]"
+ANY_PUNCTUATION = re.compile(PUNCTUATION)
 
 DEFAULTS = {
     "min_words": 50,  # a document of fewer words fails
     "max_repeat": 50,  # percent of words in repeated three-word windows
     "max_lost": 50,  # percent of words on failed lines
-    "symbol_share": 0.12,  # symbols to characters of a line's words
-    "nav_share": 0.2,  # separators to words of a line
+    "symbol_share": 0.12,  # symbols to bytes of a line's words
+    "nav_share": 0.2,  # bare separators, two or more, to words of a line
+    "link_share": 0.5,  # bytes of links and markup to bytes of a line's words
     "shout_words": 8,  # words from which a line is judged for shouting
     "plain_words": 30,  # words from which a line needs any punctuation at all
+    "plain_bytes": 360,  # bytes from which a line of long unspaced words does
+    "unspaced": 40,  # bytes of a word, on average, where a script has no spaces
     "distinct_words": 12,  # words from which a line is judged for repetition
     "distinct_share": 0.34,
+    "phrase_words": 20,  # words up to which a set phrase or legal mark makes the line
+    "edge_lines": 3,  # lines with words at the head and at the foot
 }
 
 
@@ -68,21 +86,23 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def line_fails(line: str, words: list[bytes], rules: dict = DEFAULTS) -> str:
-    """The rule that the line breaks, or ''.  ``words`` are the line's own."""
+def line_fails(line: str, words: list[bytes], rules: dict = DEFAULTS, edge: bool = False) -> str:
+    """The rule that the line breaks, or ''.  ``words`` are the line's own; ``edge``: it stands at the head or foot."""
     n = len(words)
     size = sum(map(len, words))
     if sum(map(line.count, SYMBOLS)) > rules["symbol_share"] * size:
         return "symbols"
-    if n >= 4 and sum(w in NAVIGATION for w in words) >= rules["nav_share"] * n:
+    if n >= 4 and len(SEPARATOR.findall(line)) >= max(2, rules["nav_share"] * n):
         return "navigation"
-    if n >= rules["shout_words"] and line.count("!") >= 0.5 * n:
+    if any(x in line for x in ("://", "www.", "<", "](")) and len("".join(LINK.findall(line)).encode("utf-8", "surrogatepass")) >= rules["link_share"] * size:
+        return "links"
+    if n >= rules["shout_words"] and line.count("!") + line.count("\uff01") >= 0.5 * n:
         return "shouting"
-    if n >= rules["distinct_words"] and len(set(words)) < rules["distinct_share"] * n ** 0.9:
+    if n >= rules["distinct_words"] and len(set(words)) < rules["distinct_share"] * n**0.9:
         return "repetition"
-    if n >= rules["plain_words"] and not ANY_PUNCTUATION.search(line):
+    if (n >= rules["plain_words"] or size >= max(rules["plain_bytes"], rules["unspaced"] * n)) and not ANY_PUNCTUATION.search(line):
         return "punctuation"
-    if BOILERPLATE.search(line):
+    if n <= rules["phrase_words"] and (BOILERPLATE.search(line) or (edge and LEGAL_MARK.search(line))):
         return "boilerplate"
     return ""
 
@@ -98,18 +118,20 @@ def judge(text: str | None, rules: dict = DEFAULTS) -> dict:
     seen: set[str] = set()
     n_dup = n_lines = n_failed = words_kept = 0
     kept_lines = []
-    for line in text.split("\n"):
-        own = line.encode("utf-8", "surrogatepass").split()
+    lines = [(line, line.encode("utf-8", "surrogatepass").split()) for line in text.split("\n")]
+    foot = sum(bool(own) for _, own in lines) - rules["edge_lines"]
+    for line, own in lines:
         if not own:
             kept_lines.append(line)
             continue
+        edge = n_lines < rules["edge_lines"] or n_lines >= foot
         n_lines += 1
         if line in seen:
             n_dup += 1
             n_failed += 1
         else:
             seen.add(line)
-            if line_fails(line, own, rules):
+            if line_fails(line, own, rules, edge):
                 n_failed += 1
             else:
                 words_kept += len(own)

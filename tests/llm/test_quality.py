@@ -56,3 +56,40 @@ def test_edges(spark):
     assert texts[5].strip() == prose and set(texts) == {4, 5, None}
     assert clean.where("doc_id = 5").first().kept == 7
     assert quality.assess(df.limit(0)).collect() == []
+
+
+def fails(line, edge=False):
+    return quality.line_fails(line, line.encode().split(), edge=edge)
+
+
+def test_each_rule():
+    prose = "It was late, and the last of them had gone home by then."
+    assert fails(prose) == fails(prose, edge=True) == ""
+    assert fails("w#$% o*&| r<<>> d##") == "symbols" and fails("Rent is $900 a month, paid early.") == ""
+    for line in ("Home » News » About us", "Home · News · Contact · Help", "Start › Produkte › Schuhe", "one / two / three / four", "ホーム → 製品 → 会社"):
+        assert fails(line) == "navigation"
+    assert fails("• a list item of some words") == fails("He stayed – as always – until the very last of the guests had left.") == ""
+    assert fails("https://example.org/a/b/c?d=e see") == "links" and fails("[top](https://example.org/top/of/the/page)") == "links"
+    assert fails("See https://a.org for the whole report, which was published by the council last year.") == ""
+    assert fails("BUY!! NOW!! AND!! SAVE!! A!! LOT!! OF!! CASH!!") == "shouting" and fails("Stop! Who is there, at this hour of the night, and why!") == ""
+    assert fails("la " * 20) == "repetition" and fails("the cat and the dog and the bird and the fish, all of the house") == ""
+    assert fails(" ".join(f"word{k}" for k in range(30))) == "punctuation" and fails(" ".join(f"word{k}" for k in range(29))) == ""
+    assert fails("語" * 120) == "punctuation" and fails("語" * 60 + "。" + "語" * 60) == "" and fails("語" * 119) == ""
+    assert fails("Alle Rechte vorbehalten.") == fails("ALL RIGHTS RESERVED") == fails("Tous droits réservés") == "boilerplate"
+    assert fails("The law on privacy policy was debated for years, " + prose + " " + prose) == ""
+    assert fails("© 2019 Example", edge=True) == "boilerplate" and fails("© 2019 Example") == "" and fails("A ™ in a long line. " + prose + " " + prose, edge=True) == ""
+
+
+def test_verdict_follows_the_words_on_failed_lines():
+    good = "\n".join(" ".join(f"w{k}x{j}" for j in range(10)) + "." for k in range(6))
+    bad = "\n".join(" | ".join(f"h{k}y{j}" for j in range(6)) for k in range(5))  # 11 words a line
+    assert quality.judge(f"{good}\n{bad}")["kept"] and quality.judge(f"{good}\n{bad}")["cleaned"] == good
+    found = quality.judge("\n".join(good.split("\n")[:5]) + "\n" + bad)
+    assert not found["base_failed"] and not found["kept"] and (found["n_words"], found["words_kept"], found["n_failed_lines"]) == (105, 50, 5)
+    again = quality.judge(f"{good}\n{good}")
+    assert again["n_dup_lines"] == 6 and again["base_failed"]
+    # A legal mark goes at the foot and stays in the middle.
+    marked = good.split("\n")
+    assert quality.judge("\n".join([*marked, "© 2020 A. B."]))["cleaned"] == good
+    inner = "\n".join([*marked[:3], "© 2020 A. B.", *marked[3:]])
+    assert quality.judge(inner)["cleaned"] == inner
