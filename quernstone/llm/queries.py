@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,4 +150,41 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op2_near_duplicates": _OP2_SQL, "op6_repeats": _OP6_SQL, "op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL}
+_OP10_SQL = r"""
+WITH t AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS tab),
+d AS (SELECT doc_id, coalesce(text, '') AS s, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+b AS (SELECT doc_id, s, size, hex(encode(s)) AS h FROM d),
+k AS (SELECT doc_id, size, CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) AS key,
+             CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS UBIGINT))), lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32 FROM b, t),
+p AS (SELECT *, sum(size) OVER w - size AS above, row_number() OVER w AS place, sum(size) OVER () AS total FROM k WINDOW w AS (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least(15, floor((above + size / 2.0) * 16 / CAST(total AS DOUBLE))) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+#: The patterns as DuckDB's regular expressions spell them.
+_MARKS, _LINKS, _PUNCTUATION = (re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", x) for x in (quality.MARKS, quality.LINKS, quality.PUNCTUATION))
+
+_OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (SELECT doc_id, s, ws[s + 1:s + 3] AS g FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 2)) AS s FROM d WHERE len(ws) > 2))),
+r AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS x FROM w WHERE times > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d)),
+m AS (SELECT *, len(ws) AS n, strlen(array_to_string(ws, '')) AS size FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l) WHERE len(ws) > 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup,
+             row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 3 OR row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) <= 3 AS edge FROM m),
+f AS (SELECT doc_id, n, dup, dup
+  OR length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > CAST(0.12 AS DOUBLE) * size
+  OR n >= 4 AND len(list_filter(ws, lambda x: regexp_full_match(x, '{_MARKS}'))) >= greatest(2, CAST(0.2 AS DOUBLE) * n)
+  OR strlen(array_to_string(regexp_extract_all(line, '{_LINKS}'), '')) >= CAST(0.5 AS DOUBLE) * size
+  OR n >= 8 AND length(line) - length(regexp_replace(line, '[!\x{{ff01}}]', '', 'g')) >= CAST(0.5 AS DOUBLE) * n
+  OR n >= 12 AND len(list_distinct(ws)) < CAST(0.34 AS DOUBLE) * pow(n, CAST(0.9 AS DOUBLE))
+  OR (n >= 30 OR size >= greatest(360, 40 * n)) AND NOT regexp_matches(line, '{_PUNCTUATION}')
+  OR n <= 20 AND (regexp_matches(line, '{quality.PHRASES}', 'i') OR edge AND regexp_matches(line, '{quality.LEGAL}')) AS bad FROM e),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup, count(*) FILTER (bad) AS n_bad, coalesce(sum(n) FILTER (NOT bad), 0) AS good FROM f GROUP BY doc_id),
+c AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_bad, 0) AS BIGINT) AS n_failed_lines, CAST(coalesce(good, 0) AS BIGINT) AS words_kept
+      FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - words_kept) <= 50 * n_words AS kept FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op2_near_duplicates": _OP2_SQL, "op6_repeats": _OP6_SQL, "op5_revisits": _OP5_SQL, "op8_decontamination": _OP8_SQL, "op9_quality": _OP9_SQL, "op10_sharding": _OP10_SQL}

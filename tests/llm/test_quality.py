@@ -93,3 +93,24 @@ def test_verdict_follows_the_words_on_failed_lines():
     assert quality.judge("\n".join([*marked, "© 2020 A. B."]))["cleaned"] == good
     inner = "\n".join([*marked[:3], "© 2020 A. B.", *marked[3:]])
     assert quality.judge(inner)["cleaned"] == inner
+
+
+def test_sql_agrees_on_odd_lines():
+    """The rules, written twice, on lines near each rule's edge."""
+    import random
+
+    import duckdb
+
+    from quernstone.llm.queries import ORACLE_SQL
+
+    rng = random.Random(4)
+    parts = ["©", "(c) 2020 X", "Copyright", "a | b | c", "›", "»", "—", "word", "Wörter", "語" * 60, "。", "!", "！", "!!", "http://a.b/c", "www.x.org", "<b>", "</a>", "](/x)", "[t](u)", "#", "$5", "the", "the", "Impressum", "alle Rechte VORBEHALTEN", "privacy policy", "x.", "\u00a0", "\x0b", "\u2028", "\r", "…"]
+    rows = [(k, "\n".join(rng.choice([" ", "  "]).join(rng.choice(parts) for _ in range(rng.choice([1, 2, 4, 8, 12, 20, 30, 33]))) for _ in range(rng.randint(1, 9)))) for k in range(800)]
+    rows += [(800, None), (801, ""), (802, "\n \n")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cols = [*quality.COUNTS, "base_failed", "kept"]
+    got = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, {', '.join(cols)} FROM ({ORACLE_SQL['op9_quality']})").fetchall()}
+    found = {i: tuple(quality.judge(t)[c] for c in cols) for i, t in rows}
+    assert got == found and sum(x[-1] for x in found.values()) > 20
