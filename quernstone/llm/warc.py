@@ -1,7 +1,9 @@
 """WARC files, and not-modified revisits resolved by an as-of join.
 
 ``write_warc`` and ``read_warc`` move records between tables and WARC 1.1
-files (one gzip member a record).  ``resolve_revisits`` finds for each revisit
+files.  Written are files with one gzip member a record; read are records of
+any kind, from files that are compressed by record, as a whole, or not at all.
+``resolve_revisits`` finds for each revisit
 the latest earlier full response of the same canonical URL, checks that the
 validators agree and merges the headers that a 304 may update.
 
@@ -13,7 +15,9 @@ into the next ranges by a window over one row for each range.
 
 from __future__ import annotations
 
+import datetime
 import gzip
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +32,7 @@ from quernstone.llm.shared import new_path, open_folder, written
 TRACKING = r"^(utm_[A-Za-z]+|ref|fbclid|gclid)(=|$)"
 #: Fields of a stored response that a not-modified response never replaces (RFC 9111, 3.2), or that belong to a connection.
 FIXED_FIELDS = ("connection", "proxy-connection", "keep-alive", "te", "trailer", "transfer-encoding", "upgrade", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "content-length", "content-encoding", "content-type", "content-range")
+#: A record as a row; ``t``: microseconds since 1970, UTC.
 RECORD = "record_id string, kind string, url string, t long, status int, headers map<string,string>, payload binary"
 
 
@@ -46,10 +51,43 @@ def canonical_url(url: Column) -> Column:
 # ---------------------------------------------------------------- files
 
 
+EPOCH = datetime.datetime(1970, 1, 1)
+OWN_ID = "urn:record:"
+
+
+def warc_date(t: int) -> str:
+    """Microseconds as a WARC-Date; years 1 to 9999 have one, others are an error."""
+    return f"{(EPOCH + datetime.timedelta(microseconds=t)).isoformat(timespec='microseconds')}Z"
+
+
+def ticks(date: str | None) -> int | None:
+    """A WARC-Date of any precision as microseconds; None for what is no date."""
+    try:
+        found = datetime.datetime.fromisoformat(date + "-01-01"[: max(0, 10 - len(date))] if date[4:5] in ("", "-") and len(date) < 10 else date)
+    except (TypeError, ValueError):
+        return None
+    if found.tzinfo is not None:
+        found = found.astimezone(datetime.timezone.utc).replace(tzinfo=None)
+    return (found - EPOCH) // datetime.timedelta(microseconds=1)
+
+
 def _record_bytes(r: dict) -> bytes:
-    lines = "".join(f"{k}: {v}\r\n" for k, v in r["headers"] or ())
-    block = f"HTTP/1.1 {r['status']} -\r\n{lines}\r\n".encode() + (r["payload"] or b"")
-    fields = {"WARC-Type": r["kind"], "WARC-Record-ID": f"<urn:record:{r['record_id']}>", "WARC-Date": str(r["t"]), **({"WARC-Target-URI": r["url"]} if r["url"] is not None else {}), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
+    url = None if r["url"] is None else r["url"].replace("\r", "%0D").replace("\n", "%0A")
+    lines = "".join(f"{k}: {one}\r\n" for k, v in r["headers"] or () for one in (v or "").replace("\r", " ").split("\n"))
+    payload = r["payload"] or b""
+    if r["kind"] in ("response", "revisit"):
+        block, content = f"HTTP/1.1 {'-' if r['status'] is None else r['status']} -\r\n{lines}\r\n".encode() + payload, "application/http; msgtype=response"
+    elif r["kind"] == "request":
+        block, content = f"GET {url or '/'} HTTP/1.1\r\n{lines}\r\n".encode() + payload, "application/http; msgtype=request"
+    else:
+        block, content = payload, "application/warc-fields" if r["kind"] in ("warcinfo", "metadata") else "application/octet-stream"
+    own = str(r["record_id"])
+    fields = {"WARC-Type": r["kind"], "WARC-Record-ID": f"<{own}>" if own.startswith("urn:") and not own.startswith(OWN_ID) else f"<{OWN_ID}{own}>"}
+    if r["t"] is not None:
+        fields["WARC-Date"] = warc_date(r["t"])
+    if url is not None:
+        fields["WARC-Target-URI"] = url
+    fields |= {"Content-Type": content, "Content-Length": str(len(block))}
     if r["kind"] == "revisit":
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -58,7 +96,8 @@ def _record_bytes(r: dict) -> bytes:
 def write_warc(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Write the records (columns of ``RECORD``), a file for each partition; ``path, records`` of each.
 
-    A null URL leaves its field out, a null payload is empty.  A repeated
+    A null URL or time leaves its field out, a null payload is empty; a header
+    value of several lines is that many fields.  A repeated
     attempt writes a file of another name, and only the returned ones count.
     """
 
@@ -77,43 +116,104 @@ def write_warc(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return written(records.select(*[c.split()[0] for c in RECORD.split(", ")]).mapInArrow(run, "path string, records long"), "warc-files")
 
 
-def _members(f) -> Iterator[bytes]:
-    """The gzip members of a stream, one at a time."""
-    inflate, parts = zlib.decompressobj(31), []
-    while True:
-        data = f.read(1 << 20)
-        if not data:
-            break
+def _inflated(f) -> Iterator[bytes]:
+    """A stream's bytes in pieces; gzip members, as many as there are, are decompressed."""
+    data = f.read(1 << 16)
+    if not data.startswith(b"\x1f\x8b"):
         while data:
-            parts.append(inflate.decompress(data))
-            data = b""
-            if inflate.eof:
-                yield b"".join(parts)
-                data, inflate, parts = inflate.unused_data, zlib.decompressobj(31), []
+            yield data
+            data = f.read(1 << 16)
+        return
+    inflate = zlib.decompressobj(31)
+    while data:
+        yield inflate.decompress(data, 1 << 23)
+        data = inflate.unconsumed_tail
+        if inflate.eof:
+            data, inflate = inflate.unused_data, zlib.decompressobj(31)
+        data = data or f.read(1 << 16)
+
+
+LENGTH = re.compile(rb"\r?\ncontent-length:[ \t]*(\d+)", re.IGNORECASE)
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Head and block of each record; one that is cut off at the end is an error."""
+    parts, size, need = [], 0, 1
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size < need:
+            continue
+        data, at = b"".join(parts), 0
+        while True:
+            while data[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                need = len(data) - at + 1
+                break
+            length = LENGTH.search(data, at, end)
+            if not data.startswith(b"WARC/", at) or length is None:
+                raise ValueError("no WARC record")
+            stop = end + 4 + int(length[1])
+            if stop > len(data):
+                need = stop - at
+                break
+            yield data[at:end], data[end + 4 : stop]
+            at = stop
+        parts, size = [data[at:]], len(data) - at
+    if size:
+        raise ValueError("a WARC record is cut off")
 
 
 def _fields(raw: bytes) -> list[tuple[str, str]]:
-    return [(k.decode(), v.strip().decode("utf-8", "replace")) for k, _, v in (x.partition(b":") for x in raw.split(b"\r\n")[1:] if x)]
-
-
-def parse_record(raw: bytes) -> dict:
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = {k.lower(): v for k, v in _fields(head)}
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    """Names in lower case and values after the first line; folded lines belong to the one before."""
+    out: list[tuple[str, str]] = []
+    for line in raw.split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip().decode('utf-8', 'replace')}".strip())
+        elif line:
+            name, _, value = line.partition(b":")
+            out.append((name.strip().lower().decode("utf-8", "replace"), value.strip().decode("utf-8", "replace")))
+    return out
+
+
+def _joined(fields: list[tuple[str, str]]) -> dict[str, str]:
+    """One value for each name: repeated fields as a list, cookies, which a comma can't part, by lines."""
+    out: dict[str, str] = {}
+    for name, value in fields:
+        out[name] = f"{out[name]}{chr(10) if name == 'set-cookie' else ', '}{value}" if name in out else value
+    return out
+
+
+def parse_record(head: bytes, block: bytes) -> dict:
+    """A record as a row of ``RECORD``.  Blocks that aren't HTTP messages are payload, without status and headers."""
+    fields = dict(_fields(head))
+    own = fields.get("warc-record-id", "").strip("<>")
+    http = fields.get("content-type", "").startswith("application/http")
+    message, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    status = message[:64].split()[1:2] if message.startswith(b"HTTP/") else []
     return {
-        "record_id": fields["warc-record-id"][len("<urn:record:") : -1],
-        "kind": fields["warc-type"],
-        "url": fields.get("warc-target-uri"),
-        "t": int(fields["warc-date"]),
-        "status": int(http.split(b" ", 2)[1]),
-        "headers": [(k.lower(), v) for k, v in dict(_fields(http)).items()],
+        "record_id": own.removeprefix(OWN_ID),
+        "kind": fields.get("warc-type"),
+        "url": fields["warc-target-uri"].removeprefix("<").removesuffix(">") if "warc-target-uri" in fields else None,
+        "t": ticks(fields.get("warc-date")),
+        "status": int(status[0]) if status and re.fullmatch(rb"[0-9]{1,9}", status[0]) else None,
+        "headers": list(_joined(_fields(message)).items()),
         "payload": payload,
     }
 
 
+def warc_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of the WARC files that a folder holds."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    names = [(s.getPath().getName(),) for s in found if re.search(r"\.warc(\.gz)?$", s.getPath().getName())]
+    return spark.createDataFrame(names, "path string")
+
+
 def read_warc(spark: SparkSession, folder: str, files: DataFrame, *, payload: bool = True) -> DataFrame:
-    """Records of the files that ``write_warc`` returned; header names in lower case.  Without ``payload`` that column is null."""
+    """Records of the files that ``write_warc`` returned or ``warc_files`` lists; header names in lower case.  Without ``payload`` that column is null."""
     schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("t", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +222,8 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame, *, payload: bo
             for path in batch.column(0).to_pylist():
                 some: list[dict] = []
                 with fs.open_input_stream(f"{root}/{path}", compression=None) as f:
-                    for member in _members(f):
-                        some.append(parse_record(member) | ({} if payload else {"payload": None}))
+                    for head, block in _records(_inflated(f)):
+                        some.append(parse_record(head, block) | ({} if payload else {"payload": None}))
                         if len(some) == 64:
                             yield pa.RecordBatch.from_pylist(some, schema)
                             some = []
