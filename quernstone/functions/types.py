@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +22,17 @@ def stored_type(name: str) -> T.DataType:
 
 
 def stored_value(value: int | float | str, kind: T.DataType) -> int | float | str:
-    """A literal as its column stores it: numbers and numeric strings for numeric columns, anything as text for VARCHAR."""
+    """A literal as its column stores it: anything as text for VARCHAR, numbers and text that spells one for numeric columns.
+
+    INT takes whole numbers only: what would lose a fractional part is an error.
+    """
     if value is None:
         raise EngineError("NULL can't be stored")
     try:
         if isinstance(kind, T.IntegerType):
-            got = int(value) if not isinstance(value, str) or value.strip().lstrip("+-").isdigit() else int(float(value))
+            if isinstance(value, str) and not re.fullmatch(r"\s*[+-]?[0-9]+\s*", value) or isinstance(value, float) and not value.is_integer():
+                raise EngineError(f"{value!r} is no whole number")
+            got = int(value)
             if not -(1 << 31) <= got < 1 << 31:
                 raise EngineError(f"{value} doesn't fit INT")
             return got

@@ -7,6 +7,8 @@ statement is a transaction of its own, so an error leaves nothing behind.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,18 +19,21 @@ from quernstone.functions.expressions import Expression, Name, find_field
 from quernstone.operators import constraints, dml, joins, scans
 from quernstone.plans import parser
 from quernstone.sources.catalog import ColumnDef, ForeignKey, Manifest, Table, define
-from quernstone.sources.database import COMPACT_PARTS, Database
+from quernstone.sources.database import BIG, Database, level, level_of
+from quernstone.sources.settings import Settings
 
 
-#: Folders of a table from which an insert rewrites it as one, so that single-row inserts don't pile up.
-MOST_PARTS = 32
+def _widened(df: DataFrame) -> DataFrame:
+    """FLOAT columns as double."""
+    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.FloatType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 class Session:
-    """``root`` holds the databases.  ``fk_restrict``: deletes and drops may not leave orphans (off: they may)."""
+    """``root`` holds the databases.  What isn't given as an argument comes from the Spark session's ``quernstone.*`` settings."""
 
-    def __init__(self, spark: SparkSession, root: str, *, fk_restrict: bool = False):
-        self.spark, self.root, self.fk_restrict = spark, root, fk_restrict
+    def __init__(self, spark: SparkSession, root: str, *, fk_restrict: bool | None = None, most_parts: int | None = None, compact_parts: int | None = None, vacuum_grace_seconds: int | None = None):
+        self.spark, self.root = spark, root
+        self.settings = Settings.of(spark, fk_restrict=fk_restrict, most_parts=most_parts, compact_parts=compact_parts, vacuum_grace_seconds=vacuum_grace_seconds)
         self._db: Database | None = None
         self._committed = Manifest()
         self._staged: Manifest | None = None
@@ -71,7 +76,7 @@ class Session:
             raise EngineError("no transaction is open")
         staged, self._staged = self._staged, None
         if staged is not self._committed:
-            self._committed = self.database.commit(staged, self._committed.version)
+            self._committed = self.database.commit(staged, self._committed)
 
     def rollback(self) -> None:
         if self._staged is None:
@@ -89,18 +94,21 @@ class Session:
             tables[name] = table
         staged = Manifest(self.manifest.version, tables)
         if self._staged is None:
-            self._committed = self.database.commit(staged, self._committed.version)
+            self._committed = self.database.commit(staged, self._committed)
         else:
             self._staged = staged
 
     def checkpoint(self) -> None:
-        """Rewrite tables that have grown to many folders as one, and delete what no manifest names."""
+        """Gather small parts of tables that have many, and delete what is old and no manifest names."""
         if self._staged is not None:
             raise EngineError("a transaction is open")
         for name, table in list(self._committed.tables.items()):
-            if len(table.parts) >= COMPACT_PARTS:
-                self._put(name, table.with_parts([self.database.write(table, self.database.read(table))]))
-        self.database.vacuum()
+            small = [p for p in table.parts if level(p) < BIG]
+            if len(small) >= self.settings.compact_parts:
+                rows = self.database.read(table.with_parts(small))
+                gathered = self.database.write(table, rows, level_of(rows.count()))
+                self._put(name, table.with_parts([*(p for p in table.parts if p not in small), gathered]))
+        self.database.vacuum(grace=self.settings.vacuum_grace_seconds)
 
     # --------------------------------------------------------------- tables
 
@@ -117,13 +125,12 @@ class Session:
         _ = self.database
         return self.manifest.table(name)
 
-    def _rows(self, table: Table) -> DataFrame:
-        return self.database.read(table)
+    def _rows(self, table: Table, spark: SparkSession | None = None) -> DataFrame:
+        return self.database.read(table, spark)
 
     def table(self, name: str) -> DataFrame:
         """The rows of the current state; FLOAT widened to double."""
-        df = self._rows(self._table(name))
-        return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.FloatType) else F.col(f"`{f.name}`") for f in df.schema])
+        return _widened(self._rows(self._table(name)))
 
     scan = table
 
@@ -148,7 +155,7 @@ class Session:
                 found = joins.where_joined(found, *query.where, query.table)
             if query.columns is not None:
                 found = found.select(*[F.col(f"`{joins.joined_column(found, n, query.table)}`") for n in query.columns])
-        return found.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.FloatType) else F.col(f"`{f.name}`") for f in found.schema])
+        return _widened(found)
 
     def _spark_select(self, text: str) -> DataFrame:
         """Spark SQL over the tables as they stand now."""
@@ -162,15 +169,16 @@ class Session:
             raise
 
     def _with_views(self, text: str) -> DataFrame:
-        used = {t.text.lower() for t in parser.tokens(text) if t.kind == "word"}
-        names = [n for n in self.manifest.tables if n.lower() in used]
-        for n in names:
-            self.table(n).createOrReplaceTempView(n)
-        try:
-            return self.spark.sql(text)
-        finally:
-            for n in names:
-                self.spark.catalog.dropTempView(n)
+        """In a session of its own, which has the caller's settings and views: the tables' views shadow them there only."""
+        used = {w.lower() for w in re.findall(r"\w+", text)}
+        sc, caller = self.spark.sparkContext, self.spark._jsparkSession
+        own = SparkSession(sc, caller.cloneSession())
+        SparkSession(sc, caller)  # rdd.toDF goes by the last session that was made
+        for n, table in self.manifest.tables.items():
+            if n.lower() in used:
+                rows = self._rows(table, own)
+                _widened(rows).createOrReplaceTempView(n)
+        return own.sql(text)
 
     # -------------------------------------------------------------- changes
 
@@ -187,11 +195,13 @@ class Session:
         for c in table.columns:
             missing = missing | F.col(f"`{c.name}`").isNull()
         part = self.database.write(table, cast)
-        staged = table.with_parts([part])
-        rows = self.database.read(staged)
+        rows = self.database.read(table.with_parts([part]))
         if not rows.where(missing).isEmpty():
             raise EngineError("NULL can't be stored")
         n = rows.count()
+        if level_of(n) < BIG:  # a part's name tells its size
+            part = self.database.renamed(part, level_of(n))
+            rows = self.database.read(table.with_parts([part]))
         self._insert(table, rows, n, part)
         return n
 
@@ -210,11 +220,15 @@ class Session:
                 raise EngineError(f"duplicate key in {table.name}")
         self._check_parents(table, new, [f.column for f in table.foreign])
         if n:
-            full = len(table.parts) >= MOST_PARTS
-            if full:
-                part = self.database.write(table, dml.insert(self._rows(table), new))
-            part = part or self.database.write(table, new)
-            self._put(table.name, table.with_parts([part] if full else [*table.parts, part]))
+            rank, parts = level_of(n), list(table.parts)
+            small = [p for p in parts if level(p) < BIG]
+            if rank < BIG and len(small) >= self.settings.most_parts:
+                # So that single-row inserts don't pile up: the smallest are gathered, a row is rewritten once a level.
+                lowest = min(map(level, small))
+                least = [p for p in small if level(p) == lowest]
+                new = dml.insert(self.database.read(table.with_parts(least)), new)
+                part, rank, parts = None, max(rank, min(lowest + 1, BIG)), [p for p in parts if p not in least]
+            self._put(table.name, table.with_parts([*parts, part or self.database.write(table, new, rank)]))
 
     def _check_parents(self, table: Table, rows: DataFrame, columns: list[str]) -> None:
         for f in table.foreign:
@@ -227,7 +241,7 @@ class Session:
 
     def _restrict(self, table: Table, gone: DataFrame) -> None:
         """With ``fk_restrict``, no child may refer to rows that go."""
-        if self.fk_restrict:
+        if self.settings.fk_restrict:
             for child in self.manifest.tables.values():
                 for f in child.foreign:
                     if f.table == table.name and child.name != table.name:
@@ -235,33 +249,46 @@ class Session:
                         if not self._rows(child).join(keys, F.col(f"`{f.column}`") == F.col("_gone"), "left_semi").limit(1).isEmpty():
                             raise EngineError(f"{child.name}.{f.column} refers to {table.name}")
 
+    def _hit(self, table: Table, condition: Expression | None) -> tuple[int, DataFrame, list[str], int]:
+        """How many rows a change applies to, the rows of the files that have one, the other parts, and the level of what is written anew.
+
+        At most one row for each file comes to the driver.
+        """
+        rows = self._rows(table)
+        if not table.parts:
+            return 0, rows, [], 0
+        place = F.element_at(F.split("_metadata.file_path", "/"), -2), F.element_at(F.split("_metadata.file_path", "/"), -1)
+        found = rows.where(dml.matches(rows, condition)).groupBy(F.concat_ws("/", *place).alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
+        hit, rest = self.database.split(table, {r["file"] for r in found})
+        return sum(r["n"] for r in found), self.database.read(table.with_parts(hit)), rest, max(map(level, hit), default=0)
+
     def update(self, name: str, changes: dict[str, Expression], condition: Expression | None = None) -> int:
         table = self._table(name)
         rows = self._rows(table)
-        n = dml.affected(rows, condition).first()[0]
-        new = dml.update(rows, changes, condition)
+        dml.update(rows, changes, condition)  # names and types are checked even where no row is hit
+        n, hit, rest, rank = self._hit(table, condition)
         if not n:
             return 0
-        part = self.database.write(table, new)
-        staged = table.with_parts([part])
-        after = self.database.read(staged)
+        part = self.database.write(table, dml.update(hit, changes, condition), rank)
+        staged = table.with_parts([*rest, part])
         touched = [find_field(rows.schema, c).name for c in changes]
         if set(touched) & set(table.key):
+            after = self.database.read(staged)
             if not constraints.duplicate_keys(after, table.key).isEmpty():
                 raise EngineError(f"duplicate key in {table.name}")
-            if self.fk_restrict:
-                self._restrict(table, rows.join(after.select(*table.key), table.key, "left_anti"))
-        self._check_parents(table, after, touched)
+            if self.settings.fk_restrict:
+                self._restrict(table, hit.join(after.select(*table.key), table.key, "left_anti"))
+        self._check_parents(staged, self.database.read(table.with_parts([part])), touched)
         self._put(name, staged)
         return n
 
     def delete(self, name: str, condition: Expression | None = None) -> int:
         table = self._table(name)
-        rows = self._rows(table)
-        n = dml.affected(rows, condition).first()[0]
+        n, hit, rest, rank = self._hit(table, condition)
         if n:
-            self._restrict(table, rows.where(dml.matches(rows, condition)))
-            self._put(name, table.with_parts([self.database.write(table, dml.delete(rows, condition))] if condition is not None else []))
+            self._restrict(table, hit.where(dml.matches(hit, condition)))
+            left = dml.delete(hit, condition) if condition is not None else hit.limit(0)
+            self._put(name, table.with_parts(rest if condition is None or left.isEmpty() else [*rest, self.database.write(table, left, rank)]))
         return n
 
     def truncate_table(self, name: str) -> int:

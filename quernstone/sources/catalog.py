@@ -27,7 +27,7 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class Table:
-    """``parts``: folders of Parquet files, together the table's rows."""
+    """``parts``: folders of Parquet files, or single files of one, together the table's rows."""
 
     name: str
     columns: tuple[ColumnDef, ...]
@@ -63,6 +63,10 @@ class Manifest:
         except KeyError:
             raise EngineError(f"no table {name}") from None
 
+    def parts(self) -> set[str]:
+        """What all tables are made of."""
+        return {p for t in self.tables.values() for p in t.parts}
+
     def to_json(self) -> str:
         return json.dumps({"version": self.version, "tables": {n: asdict(t) for n, t in self.tables.items()}}, indent=1)
 

@@ -48,6 +48,17 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if s.isDirectory() == folders)
 
+    def changed(self, name: str) -> float:
+        """When it was changed last, in seconds since 1970; of a folder, when it or what lies in it was."""
+        at = self._path(name)
+        status = self._fs.getFileStatus(at)
+        inner = [s.getModificationTime() for s in self._fs.listStatus(at)] if status.isDirectory() else []
+        return max([status.getModificationTime(), *inner]) / 1000
+
+    def rename(self, name: str, new: str) -> None:
+        if not self._fs.rename(self._path(name), self._path(new)):
+            raise EngineError(f"can't rename {name}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

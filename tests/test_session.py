@@ -162,7 +162,7 @@ def test_crash_between_rows_and_manifest(session, monkeypatch):
     again.use_database("d")
     assert rows(again.sql("SELECT * FROM t")) == [(1,)]
     again.sql("INSERT INTO t VALUES (3)")
-    final = Session(s.spark, s.root)
+    final = Session(s.spark, s.root, vacuum_grace_seconds=0)
     final.use_database("d")
     assert rows(final.sql("SELECT * FROM t")) == [(1,), (3,)]
     final.checkpoint()
@@ -210,15 +210,146 @@ def test_random_changes_match_duckdb(session):
     assert rows(s.sql("SELECT * FROM t")) == sorted(con.execute("SELECT * FROM t").fetchall(), key=str)
 
 
-def test_single_inserts_are_gathered(session, monkeypatch):
-    from quernstone.plans import session as module
-
-    monkeypatch.setattr(module, "MOST_PARTS", 3)
-    session.sql("CREATE TABLE t (a INT PRIMARY KEY)")
+def test_single_inserts_are_gathered(spark, tmp_path):
+    s = Session(spark, str(tmp_path / "root"), most_parts=3)
+    s.create_database("d")
+    s.use_database("d")
+    s.sql("CREATE TABLE t (a INT PRIMARY KEY)")
+    s.insert("t", spark.range(100, 2200).selectExpr("CAST(id AS INT) AS a"))
+    large = s.manifest.table("t").parts[0]
     for i in range(8):
-        session.sql(f"INSERT INTO t VALUES ({i})")
-        assert len(session.manifest.table("t").parts) <= 3
-    assert rows(session.sql("SELECT * FROM t")) == [(i,) for i in range(8)]
+        s.sql(f"INSERT INTO t VALUES ({i})")
+        assert len(s.manifest.table("t").parts) <= 3 and large in s.manifest.table("t").parts
+    assert rows(s.sql("SELECT * FROM t")) == rows(spark.createDataFrame([(i,) for i in [*range(8), *range(100, 2200)]], "a int"))
+
+
+def test_changes_rewrite_only_files_with_hit_rows(session, spark):
+    s = session
+    s.sql("CREATE TABLE t (a INT PRIMARY KEY, b INT)")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files for few rows
+    try:
+        s.insert("t", spark.range(2000).selectExpr("CAST(id AS INT) AS a", "CAST(id % 7 AS INT) AS b"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    s.insert("t", spark.createDataFrame([(5000, 1), (5001, 2)], "a int, b int"))
+    first, other = s.manifest.table("t").parts
+    files = {f"{first}/{f}" for f in os.listdir(f"{s.root}/d/{first}") if f.endswith(".parquet")}
+    assert len(files) > 2
+    assert s.sql("DELETE FROM t WHERE a = 1234").first()[0] == 1
+    after = s.manifest.table("t").parts
+    assert len(files & set(after)) == len(files) - 1 and other in after and first not in after
+    assert s.sql("UPDATE t SET b = 70 WHERE a = 5000").first()[0] == 1
+    assert files & set(after) == files & set(s.manifest.table("t").parts) and other not in s.manifest.table("t").parts
+    assert s.sql("DELETE FROM t WHERE a = 9999").first()[0] == 0 and s.sql("UPDATE t SET b = 1 WHERE a = 9999").first()[0] == 0
+    want = [(i, i % 7) for i in range(2000) if i != 1234] + [(5000, 70), (5001, 2)]
+    assert rows(s.sql("SELECT * FROM t")) == sorted(want, key=str)
+    strict = Session(spark, s.root, vacuum_grace_seconds=0)
+    strict.use_database("d")
+    strict.checkpoint()
+    assert rows(strict.sql("SELECT * FROM t")) == sorted(want, key=str)
+    again = Session(spark, s.root)
+    again.use_database("d")
+    assert rows(again.sql("SELECT * FROM t")) == sorted(want, key=str)
+    left = {f for f in os.listdir(f"{s.root}/d/{first}") if f.endswith(".parquet")}
+    assert left == {f.split("/")[-1] for f in files & set(after)}
+
+
+def test_checkpoint_beside_an_open_transaction(session, spark):
+    s = session
+    s.sql("CREATE TABLE t (a INT PRIMARY KEY)")
+    s.sql("INSERT INTO t VALUES (1)")
+    other = Session(spark, s.root)
+    other.use_database("d")
+    other.sql("BEGIN")
+    other.sql("INSERT INTO t VALUES (2)")
+    s.checkpoint()
+    other.sql("COMMIT")
+    assert rows(other.sql("SELECT * FROM t")) == [(1,), (2,)]
+    # Without a grace the commit fails aloud and the older state stays.
+    s.use_database("d")
+    other.sql("BEGIN")
+    other.sql("INSERT INTO t VALUES (3)")
+    hasty = Session(spark, s.root, vacuum_grace_seconds=0)
+    hasty.use_database("d")
+    hasty.checkpoint()
+    with pytest.raises(EngineError, match="gone"):
+        other.sql("COMMIT")
+    other.use_database("d")
+    assert rows(other.sql("SELECT * FROM t")) == [(1,), (2,)]
+
+
+def test_lost_rows_are_an_error(session, spark):
+    import shutil
+
+    s = session
+    s.sql("CREATE TABLE t (a INT PRIMARY KEY)")
+    s.sql("INSERT INTO t VALUES (1)")
+    s.sql("INSERT INTO t VALUES (2)")
+    shutil.rmtree(f"{s.root}/d/{s.manifest.table('t').parts[1]}")
+    with pytest.raises(EngineError, match="lost"):
+        Session(spark, s.root).use_database("d")
+
+
+PASSED_ON = [
+    ("SELECT a % 2 AS r FROM t", [(0,), (1,), (1,)]),
+    ("SELECT b || '!' AS c FROM t WHERE a = 1", [("x!",)]),
+    ("SELECT `a` FROM t WHERE `b` = 'y'", [(2,)]),
+    ("WITH s AS (SELECT a + 1 AS n FROM t) SELECT sum(n) AS n FROM s", [(9,)]),
+    ("SELECT CASE WHEN a > 1 THEN 'it''s' ELSE 'no' END AS c FROM t -- all\n WHERE a < 3", [("it's",), ("no",)]),
+    ("SELECT array(a, 2)[0] AS c FROM t /* one */ WHERE a <=> 3;", [(3,)]),
+    ("SELECT transform(array(a), x -> x * 2)[0] AS c FROM t WHERE b RLIKE '^[xz]$'", [(2,), (6,)]),
+]
+
+
+def test_select_beyond_the_grammar(session, spark):
+    s = session
+    s.sql("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR)")
+    s.insert_rows("t", [[1, "x"], [2, "y"], [3, "z"]])
+    spark.createDataFrame([("mine",)], "own string").createOrReplaceTempView("t")
+    spark.createDataFrame([(1, "other")], "a int, o string").createOrReplaceTempView("v")
+    try:
+        for text, want in PASSED_ON:
+            assert rows(s.sql(text)) == sorted(want, key=str), text
+        assert rows(s.sql("SELECT o FROM t JOIN v USING (a)")) == [("other",)]
+        # The caller's view of that name is still the caller's.
+        assert rows(spark.table("t")) == [("mine",)] and spark.sparkContext.parallelize([(1,)]).toDF(["q"]).sparkSession is not None
+        for bad in ("WITH s AS (SELECT a FROM t) INSERT INTO t SELECT * FROM s", "SELECT $ FROM t", "SELECT a FROM t WHERE", "SELECT FROM t t t t", "WITH s AS (SELECT 1"):
+            with pytest.raises(EngineError):
+                s.sql(bad)
+    finally:
+        spark.catalog.dropTempView("t")
+        spark.catalog.dropTempView("v")
+
+
+def test_whole_numbers_only(session):
+    s = session
+    s.sql("CREATE TABLE t (a INT, f FLOAT)")
+    for bad in ("3.7", '"3.7"', '"1_0"', '"1e3"', '""'):
+        with pytest.raises(EngineError):
+            s.sql(f"INSERT INTO t VALUES ({bad}, 1)")
+    s.sql('INSERT INTO t VALUES (3.0, "3.5")')
+    s.sql('INSERT INTO t VALUES ("-020", 1e3)')
+    assert rows(s.sql("SELECT * FROM t")) == [(-20, 1000.0), (3, 3.5)]
+
+
+def test_settings(spark, tmp_path):
+    from quernstone.sources.settings import Settings
+
+    assert Settings.of(spark) == Settings()
+    try:
+        spark.conf.set("quernstone.most_parts", "5")
+        spark.conf.set("quernstone.fk_restrict", "true")
+        spark.conf.set("quernstone.vacuum_grace_seconds", "0")
+        s = Session(spark, str(tmp_path), vacuum_grace_seconds=60)
+        assert s.settings == Settings(most_parts=5, fk_restrict=True, vacuum_grace_seconds=60)
+        for name, bad in (("most_parts", "0"), ("fk_restrict", "yes"), ("compact_parts", "many")):
+            spark.conf.set(f"quernstone.{name}", bad)
+            with pytest.raises(EngineError):
+                Session(spark, str(tmp_path))
+            spark.conf.unset(f"quernstone.{name}")
+    finally:
+        for name in ("most_parts", "fk_restrict", "vacuum_grace_seconds", "compact_parts"):
+            spark.conf.unset(f"quernstone.{name}")
 
 
 def test_shell(session):
