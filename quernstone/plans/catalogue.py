@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.errors import EngineError
 from quernstone.functions.expressions import Binary, Literal, Name
 from quernstone.operators import constraints, dml, joins, scans
 from quernstone.plans.session import Session
+from quernstone.plans.shell import render
 from quernstone.sources.catalog import ColumnDef
 from quernstone.sources.files import scratch_dir
 
@@ -40,6 +42,7 @@ def _add(name: str, query: Query, sql: str) -> None:
 
 # scans, projections, filters
 _add("scan_full", _on("nation", scans.scan), "SELECT * FROM nation")
+_add("scan_lineitem", _on("lineitem", scans.scan), "SELECT * FROM lineitem")
 _add("scan_project", _on("customer", lambda t: scans.scan(t, ["c_custkey", "c_name"])), "SELECT c_custkey, c_name FROM customer")
 _add("pk_lookup", _on("orders", lambda t: scans.point_lookup(t, "o_orderkey", 5)), "SELECT * FROM orders WHERE o_orderkey = 5")
 _add("pk_lookup_miss", _on("orders", lambda t: scans.point_lookup(t, "o_orderkey", -1)), "SELECT * FROM orders WHERE o_orderkey = -1")
@@ -159,18 +162,21 @@ def _session(spark: SparkSession, sf_dir: str) -> Session:
     s = Session(spark, scratch_dir(spark))
     s.create_database("shop")
     s.use_database("shop")
-    s.create_table("part", [ColumnDef("p_partkey", "INT", True), ColumnDef("p_name", "VARCHAR"), ColumnDef("p_size", "INT")])
-    s.insert("part", external(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+    kinds = {"p_partkey": "INT", "p_name": "VARCHAR", "p_brand": "VARCHAR", "p_type": "VARCHAR", "p_size": "INT", "p_retailprice": "FLOAT"}
+    s.create_table("part", [ColumnDef(c, kind, c == "p_partkey") for c, kind in kinds.items()])
+    s.insert("part", external(spark, sf_dir, "part"))
     return s
 
 
-_PART = "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_size FROM part"
+#: As stored: FLOAT holds 32 bits and is shown with 64.
+_PART = "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_type, p_size, CAST(CAST(p_retailprice AS REAL) AS DOUBLE) AS p_retailprice FROM part"
+_NEW = "INSERT INTO part VALUES (-1, 'new', 'b', 't', 5, \"0.5\")"
 
 
-@_query("txn_commit", f"SELECT p_partkey, p_name, CAST(CASE WHEN p_size > 40 THEN p_size * 2 ELSE p_size END AS INTEGER) AS p_size FROM ({_PART}) WHERE p_size >= 3 UNION ALL SELECT CAST(-1 AS INTEGER), 'new', CAST(5 AS INTEGER)")
+@_query("txn_commit", f"SELECT p_partkey, p_name, p_brand, p_type, CAST(CASE WHEN p_size > 40 THEN p_size * 2 ELSE p_size END AS INTEGER) AS p_size, p_retailprice FROM ({_PART}) WHERE p_size >= 3 UNION ALL SELECT CAST(-1 AS INTEGER), 'new', 'b', 't', CAST(5 AS INTEGER), CAST(0.5 AS DOUBLE)")
 def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir)
-    for text in ("BEGIN", "INSERT INTO part VALUES (-1, 'new', 5)", "UPDATE part SET p_size = p_size * 2 WHERE p_size > 40", "DELETE FROM part WHERE p_size < 3", "COMMIT"):
+    for text in ("BEGIN", _NEW, "UPDATE part SET p_size = p_size * 2 WHERE p_size > 40", "DELETE FROM part WHERE p_size < 3", "COMMIT"):
         s.sql(text)
     return s.sql("SELECT * FROM part")
 
@@ -178,7 +184,7 @@ def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("txn_rollback", _PART)
 def txn_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir)
-    for text in ("BEGIN", "INSERT INTO part VALUES (-1, 'new', 5)", "UPDATE part SET p_size = 0", "TRUNCATE TABLE part", "DROP TABLE part", "ROLLBACK"):
+    for text in ("BEGIN", _NEW, "UPDATE part SET p_size = 0", "TRUNCATE TABLE part", "DROP TABLE part", "ROLLBACK"):
         s.sql(text)
     return s.sql("SELECT * FROM part")
 
@@ -217,6 +223,93 @@ def spark_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session(spark, sf_dir).sql("SELECT p_size, count(*) AS n FROM part WHERE p_size BETWEEN 5 AND 9 GROUP BY p_size")
 
 
+@_query("spark_with", f"WITH s AS (SELECT p_size % 3 AS r, p_brand || '!' AS b FROM ({_PART})) SELECT r, b, count(*) AS n FROM s GROUP BY r, b")
+def spark_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir).sql("WITH s AS (SELECT `p_size` % 3 AS r, p_brand || '!' AS b FROM part) SELECT r, b, count(*) AS n FROM s GROUP BY r, b")
+
+
+@_query("delete_key", f"SELECT * FROM ({_PART}) WHERE p_partkey <> 11")
+def delete_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file is written anew, the others stay."""
+    s = _session(spark, sf_dir)
+    s.sql("DELETE FROM part WHERE p_partkey = 11")
+    return s.table("part")
+
+
+@_query("checkpoint", f"SELECT * FROM ({_PART}) UNION ALL SELECT CAST(-i AS INTEGER), 'new', 'b', 't', CAST(5 AS INTEGER), CAST(0.5 AS DOUBLE) FROM range(1, 4) r(i)")
+def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small parts are gathered beside another writer's open transaction, which commits later."""
+    s = _session(spark, sf_dir)
+    s = Session(spark, s.root, compact_parts=2)
+    s.use_database("shop")
+    for i in (1, 2):
+        s.sql(_NEW.replace("-1", f"-{i}"))
+    s.checkpoint()
+    other = Session(spark, s.root)
+    other.use_database("shop")
+    other.sql("BEGIN")
+    other.sql(_NEW.replace("-1", "-3"))
+    s.checkpoint()
+    other.sql("COMMIT")
+    s.use_database("shop")
+    return s.table("part")
+
+
+@_query("two_writers", f"SELECT * FROM ({_PART}) WHERE p_size <> 8")
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two transactions from one state the first wins, the other changes nothing."""
+    s = _session(spark, sf_dir)
+    other = Session(spark, s.root)
+    other.use_database("shop")
+    for x, size in ((s, 8), (other, 9)):
+        x.sql("BEGIN")
+        x.sql(f"DELETE FROM part WHERE p_size = {size}")
+    s.sql("COMMIT")
+    try:
+        other.sql("COMMIT")
+    except EngineError:
+        other.use_database("shop")
+    return other.table("part")
+
+
+@_query("fk_update", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, CAST(CASE WHEN s_nationkey = 3 THEN 4 ELSE s_nationkey END AS INTEGER) AS s_nationkey FROM supplier")
+def fk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference may be changed to a row that is there, not to one that isn't."""
+    s = _session(spark, sf_dir)
+    s.sql("CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name VARCHAR)")
+    s.sql("CREATE TABLE supplier (s_suppkey INT PRIMARY KEY, s_nationkey INT, FOREIGN KEY (s_nationkey) REFERENCES nation (n_nationkey))")
+    s.insert("nation", external(spark, sf_dir, "nation"))
+    s.insert("supplier", external(spark, sf_dir, "supplier"))
+    s.sql("UPDATE supplier SET s_nationkey = s_nationkey + 1 WHERE s_nationkey = 3")
+    try:
+        s.sql("UPDATE supplier SET s_nationkey = s_nationkey + 1000 WHERE s_nationkey = 5")
+    except EngineError:
+        pass
+    return s.table("supplier")
+
+
+@_query("insert_coerced", "SELECT * FROM (VALUES (CAST(-20 AS INTEGER), CAST(1000 AS DOUBLE), '7'), (CAST(3 AS INTEGER), CAST(0.5 AS DOUBLE), '1.5')) t(a, f, v)")
+def insert_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that spells a number is one in a numeric column; what INT would cut short is refused."""
+    s = Session(spark, scratch_dir(spark))
+    s.create_database("d")
+    s.use_database("d")
+    s.sql("CREATE TABLE t (a INT, f FLOAT, v VARCHAR)")
+    for text in ('"-020", 1e3, 7', '3, "0.5", 1.5', '"3.7", 1, "x"', '3.7, 1, "x"', '"word", 1, "x"'):
+        try:
+            s.sql(f"INSERT INTO t VALUES ({text})")
+        except EngineError:
+            pass
+    return s.table("t")
+
+
+@_query("console", "SELECT rpad('n_nationkey', 20, ' ') || ' | ' || rpad('n_name', 20, ' ') AS line UNION ALL SELECT repeat('-', 20) || '-+-' || repeat('-', 20) UNION ALL SELECT rpad(CAST(n_nationkey AS VARCHAR), 20, ' ') || ' | ' || rpad(n_name, 20, ' ') FROM nation")
+def console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as the shell prints it."""
+    lines = render(scans.scan(external(spark, sf_dir, "nation"), ["n_nationkey", "n_name"])).split("\n")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one segment with their orders: projection and filter pushed below the join."""
     customer = scans.scan(scans.equal(external(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING"), ["c_custkey", "c_name"])
