@@ -4,8 +4,9 @@ Every language has a codeword.  Each bit is a binary classifier over hashed
 byte n-grams: the log odds between the languages that have the bit and those
 that have not, averaged over the text.  Decoding sums, over the bits, the
 exponential loss of the classifier's margin against the codeword, weighted by
-how well that bit does on that language in training, and takes the nearest
-codeword; a text whose second codeword is nearly as near is flagged.
+how well that bit does on that language on texts of the sample that the log
+odds were not counted on, and takes the nearest codeword; a text whose second
+codeword is nearly as near is flagged.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.shared import dropped, written
+
 #: Hashed n-grams: two and three bytes.
 DIMENSIONS = 1 << 15
 #: Bytes whose n-grams are looked up together.
@@ -115,11 +118,16 @@ class Model:
         return best, score, gap < self.ambiguous * loss.min(1)
 
 
-def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows of each language, drawn by a hash of the row.  ``fit`` has bounded the languages, so their counts may be broadcast."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+#: Of so many texts of the sample one judges the bits, the others are counted.
+JUDGES = 5
+
+
+def _sample(labelled: DataFrame, rows: dict[str, int], per_language: int) -> DataFrame:
+    """``lang, text, judge``: about ``per_language`` different texts of each language at most, drawn by a hash of the row."""
     coin = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(counts), "lang").where(coin * F.col("n") < per_language).select("lang", "text")
+    chance = F.element_at(F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
+    drawn = labelled.where(coin < chance).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("k")).dropDuplicates(["lang", "k"])
+    return drawn.select("lang", "text", (F.pmod("k", F.lit(JUDGES)) == 0).alias("judge"))
 
 
 def fit(documents: DataFrame, *, per_language: int = 4000, one_in: int = 5, most_languages: int = 200) -> Model:
@@ -130,30 +138,37 @@ def fit(documents: DataFrame, *, per_language: int = 4000, one_in: int = 5, most
     languages.
     """
     labelled = documents.where(~held_out(F.col("doc_id"), one_in) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
+    rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(rows) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
+    languages = sorted(rows)
     if not languages:
         return Model([], np.zeros((0, 0), np.int8), np.zeros((DIMENSIONS, 0)), np.zeros(0), np.zeros((0, 0)))
-    drawn = _sample(labelled, per_language).repartition(8)
+    drawn = written(_sample(labelled, rows, per_language), "language-sample")
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(place), DIMENSIONS), np.int64)
+        totals = np.zeros((2, len(place), DIMENSIONS), np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text, judges in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 grams, starts, ends = _grams([text])
-                totals[place[lang]] += np.bincount(grams[:, starts[0] : ends[0]].ravel(), minlength=DIMENSIONS)
+                totals[int(judges), place[lang]] += np.bincount(grams[:, starts[0] : ends[0]].ravel(), minlength=DIMENSIONS)
         yield pa.RecordBatch.from_arrays([pa.array([totals.astype("<i8").tobytes()], pa.binary())], ["totals"])
 
-    totals = sum(np.frombuffer(r.totals, "<i8").reshape(len(languages), -1) for r in drawn.mapInArrow(count, "totals binary").collect()).astype(float)  # 8 rows
-    shares = (totals + SMOOTHING) / (totals + SMOOTHING).sum(1, keepdims=True)
+    counted = drawn.repartition(4).mapInArrow(count, "totals binary").collect()  # 4 rows
+    totals = sum(np.frombuffer(r.totals, "<i8").reshape(2, len(languages), -1) for r in counted).astype(float)
     codes = codewords(len(languages))
-    odds = np.column_stack([np.log(shares[codes[:, b] > 0].mean(0)) - np.log(shares[codes[:, b] < 0].mean(0)) for b in range(codes.shape[1])]) if codes.shape[1] else np.zeros((DIMENSIONS, 0))
-    model = Model(languages, codes, odds.astype(np.float32), np.ones(codes.shape[1]), np.ones(codes.shape))
+
+    def odds_of(totals: np.ndarray) -> np.ndarray:
+        shares = (totals + SMOOTHING) / (totals + SMOOTHING).sum(1, keepdims=True)
+        odds = [np.log(shares[codes[:, b] > 0].mean(0)) - np.log(shares[codes[:, b] < 0].mean(0)) for b in range(codes.shape[1])]
+        return np.column_stack(odds).astype(np.float32) if odds else np.zeros((DIMENSIONS, 0), np.float32)
+
+    # Judged are bits that haven't seen the judges; the model's own have seen all.
+    model = Model(languages, codes, odds_of(totals[0]), np.ones(codes.shape[1]), np.ones(codes.shape))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, size, rows = np.zeros(codes.shape), np.zeros(codes.shape[1]), np.zeros(len(languages))
+        right, size, rows = np.zeros(codes.shape), np.zeros(codes.shape[1]), np.zeros(len(place))
         for batch in batches:
             m = model.margins(batch.column(1).to_pylist())
             which = np.array([place[x] for x in batch.column(0).to_pylist()], int)
@@ -162,12 +177,15 @@ def fit(documents: DataFrame, *, per_language: int = 4000, one_in: int = 5, most
             size += np.abs(m).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (right, size, rows)], ["right", "size", "rows"])
 
-    found = drawn.mapInArrow(judge, "right binary, size binary, rows binary").collect()  # 8 rows
+    found = drawn.where("judge").repartition(8).mapInArrow(judge, "right binary, size binary, rows binary").collect()  # 8 rows
+    dropped(drawn)
+    model.odds = odds_of(totals.sum(0))
     right, size, rows = (sum(np.frombuffer(r[k]) for r in found) for k in range(3))
     if codes.shape[1]:
-        accuracy = right.reshape(codes.shape) / np.maximum(rows, 1)[:, None]
+        # A language that no text judges has equal weights.
+        accuracy = np.where(rows[:, None] > 0, right.reshape(codes.shape) / np.maximum(rows, 1)[:, None], 1.0)
         model.weights = np.maximum(accuracy, 1e-3) / np.maximum(accuracy, 1e-3).sum(1, keepdims=True)
-        model.scale = np.maximum(size / max(rows.sum(), 1), 1e-9)
+        model.scale = np.maximum(size / rows.sum(), 1e-9) if rows.sum() else model.scale
     return model
 
 

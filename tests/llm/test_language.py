@@ -52,3 +52,39 @@ def test_codewords_differ():
     for n in (2, 3, 4, 6, 7, 20):
         code = language.codewords(n)
         assert len({tuple(r) for r in code}) == n and (np.abs(code.astype(int).sum(0)) < n).all()
+
+
+def test_against_a_plain_decoder():
+    """Margins, losses and the nearest codeword, bit by bit and gram by gram."""
+    import math
+
+    rng = np.random.default_rng(6)
+    codes = language.codewords(5)
+    bits = codes.shape[1]
+    model = language.Model(list("abcde"), codes, rng.normal(size=(language.DIMENSIONS, bits)).astype(np.float32), rng.uniform(0.01, 0.1, bits), rng.uniform(0.1, 1, codes.shape))
+    texts = ["The cat", "ein Hund", "Übermut tut", "été", "x", "日本 語"]
+    best, score, unsure = model.decode(model.margins(texts))
+    for k, text in enumerate(texts):
+        raw = b"  " + text.lower().encode() + b"  "
+        grams = []
+        for i in range(len(raw) - 2):
+            two, three = raw[i] << 8 | raw[i + 1], raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]
+            grams += [(two * 2_654_435_761 & 0xFFFFFFFF) >> 19, ((three * 2_246_822_519 & 0xFFFFFFFF) >> 18) + (1 << 13)]
+        margins = [sum(float(model.odds[g, b]) for g in grams) / len(grams) for b in range(bits)]
+        losses = [sum(model.weights[c, b] * math.exp(-codes[c, b] * max(-4.0, min(4.0, margins[b] / model.scale[b]))) for b in range(bits)) for c in range(5)]
+        order = sorted(range(5), key=lambda c: losses[c])
+        if losses[order[1]] - losses[order[0]] > 1e-3 * losses[order[0]]:
+            assert best[k] == order[0]
+        assert math.isclose(score[k], 1 / sum(math.exp(-2 * (x - min(losses))) for x in losses), rel_tol=1e-2)
+        gap = losses[order[1]] - losses[order[0]]
+        if abs(gap - 0.25 * losses[order[0]]) > 1e-3:
+            assert bool(unsure[k]) == (gap < 0.25 * losses[order[0]])
+
+
+def test_sample_has_each_text_once(spark):
+    ship(spark)
+    rows = [(i, "la même phrase se répète ici", "fr") for i in range(3000)] + [(5000 + i, f"one more line number {i} of it", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    drawn = language._sample(df, {"fr": 3000, "en": 300}, 1000).collect()
+    assert sum(r.lang == "fr" for r in drawn) == 1 and sum(r.lang == "en" for r in drawn) == 300
+    assert 20 < sum(r.judge for r in drawn) < 110
