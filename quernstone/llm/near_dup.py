@@ -6,9 +6,14 @@
    is tied together by edges to its smallest member, never by all pairs; the
    components of these edges are the clusters in which links can lie.
 3. A cluster that fits into memory is examined by one task.  A larger one is
-   cut by set size (a link joins neighbouring classes of size only) and by a
-   hash of the id into blocks, and each pair of blocks that can hold a link is
-   a task of bounded size.  So no bucket is capped and no pair is lost.
+   dealt in the way that sends fewer documents.  By blocks: it is cut by set
+   size (a link joins neighbouring classes of size only) and by a hash of the
+   id, and each pair of blocks that can hold a link is a task; so a group of
+   near copies, which share most buckets, is compared once.  By buckets: each
+   is a task, cut into pairs of blocks where it is large; so a chain of weak
+   candidates, whose buckets are small, costs a few tasks a document however
+   long it is.  Either way tasks are bounded, no bucket is capped and no pair
+   that shares one is lost.
 4. A task estimates similarity by likelihood from the registers, verifies
    pairs on the full sets where the estimate doesn't rule a link out, and
    returns a spanning forest of the links.  Components of these are classes.
@@ -91,6 +96,7 @@ def _tasks(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .where((F.col("d") > BLOCK_DOCS) | (F.col("s") > BLOCK_SHINGLES))
         .select("component", "nb")
     )
+    large = written(large, "large-clusters")
     joined = placed.join(large, "component", "left").withColumn("own", F.expr("pmod(xxhash64(id), nb[cls])"))
     name = lambda *x: F.concat_ws(".", F.col("component"), *x)
     none = F.array().cast("array<string>")
@@ -103,7 +109,24 @@ def _tasks(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     tasks = F.when(F.col("nb").isNull(), F.array(F.col("component").cast("string"))).otherwise(F.concat(against(-1), against(0), against(1)))
     block = F.when(F.col("nb").isNull(), F.lit("")).otherwise(F.concat_ws(".", "cls", "own"))
-    return joined.select("id", tasks.alias("tasks"), block.alias("block"))
+    by_block = joined.select("id", tasks.alias("tasks"), block.alias("block"), "component")
+    if large.isEmpty():
+        return by_block.drop("component")
+
+    # What the large clusters would send by buckets, and what by blocks.
+    members = _bands(nodes.join(placed.join(large.select("component"), "component").select("id", "component"), "id")).join(placed.select("id", "n", "component"), "id")
+    ways = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("m") * 2.0 / BLOCK_DOCS, F.col("s") * 2.0 / BLOCK_SHINGLES)))
+    whole = (F.col("m") <= BLOCK_DOCS) & (F.col("s") <= BLOCK_SHINGLES)
+    buckets = members.groupBy("component", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
+    buckets = written(buckets.select("component", "key", "m", F.when(whole, 1).otherwise(ways).cast("long").alias("ways")), "buckets")
+    sent = buckets.groupBy("component").agg(F.sum(F.col("m") * F.col("ways")).alias("by_buckets"))
+    around = F.expr("coalesce(nb[cls - 1], 0) + coalesce(nb[cls], 0) + coalesce(nb[cls + 1], 0)")
+    sent = sent.join(by_class.join(large, "component").groupBy("component").agg(F.sum(F.col("d") * around).alias("by_blocks")), "component")
+    loose = written(sent.where("by_buckets < by_blocks").select("component"), "loose-clusters")
+    mine = F.expr("pmod(xxhash64(id), ways)")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1), lambda j: F.concat_ws(".", F.lit("b"), "component", "key", F.least(mine, j), F.greatest(mine, j)))
+    by_bucket = members.join(buckets, ["component", "key"]).join(loose, "component").groupBy("id").agg(F.flatten(F.collect_list(pairs)).alias("tasks"))
+    return by_block.join(loose, "component", "left_anti").select("id", "tasks", "block").union(by_bucket.select("id", "tasks", F.lit("").alias("block")))
 
 
 def _examine(percent: int):

@@ -71,6 +71,27 @@ def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"), 85)
 
 
+def test_chain_of_weak_candidates_stays_linear(spark, monkeypatch):
+    """One cluster of documents that only resemble their neighbours: a few tasks a document, and links found as ever."""
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 8)
+    ship(spark)
+    sizes = {}
+    for n in (200, 400):
+        rows = [(k, " ".join(f"w{i}" for i in range(15 * k, 15 * k + 104))) for k in range(n)]  # similarity 0.74 of neighbours
+        rows += [(n + k, rows[k][1] + " end") for k in range(0, n, 50)]  # and some near copies
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        marks = near_dup.signatures(df).where("n > 0")
+        nodes = near_dup.written(marks.selectExpr("n", "k1", "k2", "doc_id AS id", "sketch"), "nodes")
+        clusters = components(near_dup._same_bucket(nodes))
+        assert clusters.groupBy("component").count().agg({"count": "max"}).first()[0] > 0.5 * n
+        dealt = near_dup._tasks(clusters, nodes, 80).selectExpr("size(tasks) AS k", "block").collect()
+        sizes[n] = sum(r.k for r in dealt)
+        assert sizes[n] < 42 * n and any(r.block == "" for r in dealt)
+    assert sizes[400] < 2.6 * sizes[200]
+    want = check(df, 80)
+    assert sum(i != c for i, (_, c) in want.items()) == 8
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(200_000))
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n\t", None), (4, "one two", "c"), (5, "ONE  two", "d"), (6, long, "e"), (7, long + " end", "f"), (8, "one two", "g"), (8, "one two", "g"), (None, "one two", "h")]
