@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept.  Its result is written as Parquet in the shared folder and read again,
 so a lost executor costs one stage at most.  All stages but the last return
 the columns of documents.
+
+Line dedup, which cuts passages, comes before the search for near copies, which
+takes or leaves whole documents: what an edited copy shares with its original
+goes line by line, and the later stage finds copies that no run of lines gives
+away, such as those with a word changed in every line.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks that an earlier document has removed; documents left without words go."""
+    """Blocks that any earlier document has are removed; documents left without words go."""
     ship(spark)
     return line_dedup.without_common_lines(docs)
 
