@@ -111,8 +111,9 @@ def hit_words(spans: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))))
 
 
-def digest(hits: DataFrame, *, one_in: int = 20) -> DataFrame:
-    """Counts and verdict: contaminated if at least one word in ``one_in`` is hit."""
+def digest(hits: DataFrame, *, one_in: int = 20, whole_window: int | None = None) -> DataFrame:
+    """Counts and verdict: contaminated if at least one word in ``one_in`` is hit or, where it is given, a window of ``whole_window`` words."""
+    any_window = F.lit(False) if whole_window is None else F.exists("spans", lambda s: s["len"] >= whole_window)
     n_hit = F.size(hit_words(F.col("spans"))).cast("long")
     return hits.select(
         "doc_id",
@@ -122,7 +123,7 @@ def digest(hits: DataFrame, *, one_in: int = 20) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+    ).withColumn("contaminated", (F.col("n_hit") > 0) & ((F.col("n_hit") * one_in >= F.col("n_words")) | any_window))
 
 
 def without_spans(text: Column, spans: Column) -> Column:
@@ -138,16 +139,20 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(text)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, remove: str = "documents", window: int = 13, one_in: int = 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, remove: str = "documents", window: int = 13, one_in: int = 20, any_window: bool = False) -> DataFrame:
     """The documents without benchmark text, all columns kept.
 
+    Contaminated is a document with at least one hit word in ``one_in`` and,
+    with ``any_window``, one that has any whole window, however long it is; an
+    item shorter than a window, which may be a common phrase, doesn't do that.
+
     ``remove="documents"`` drops contaminated documents and leaves the others
     as they are; ``"spans"`` cuts the hit words out of every document;
     ``"both"`` drops the contaminated and cuts spans from the rest.
     """
     if remove not in ("documents", "spans", "both"):
         raise ValueError(f"remove: {remove}")
-    found = digest(find_hits(documents, benchmark, window=window), one_in=one_in).where("n_hit > 0")
+    found = digest(find_hits(documents, benchmark, window=window), one_in=one_in, whole_window=window if any_window else None).where("n_hit > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_bad")).distinct()
     joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     if remove in ("documents", "both"):
