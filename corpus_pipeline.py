@@ -41,9 +41,9 @@ def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are benchmark text to one word in 20 or more go; what the others have of it is cut out."""
+    """Documents with a window of 13 benchmark words go, and those that are benchmark text to one word in 20; shorter items are cut out of the others."""
     ship(spark)
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="both")
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="both", any_window=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
