@@ -18,12 +18,12 @@ document with a smaller id.  Texts are never shuffled; four passes read them:
 
 An anchor with more than ``HOT`` occurrences would make a shard that grows with
 the corpus.  Its windows are dealt in small blocks instead, each once for a
-document, by 128 bits of hash, and their smallest ids meet in partial aggregates;
+document, by their bytes, and their smallest ids meet in partial aggregates;
 the windows of blocks that no smaller id has are dealt one by one.
 
 Passes find their rows again by place: the number of the scan's partition and
 of the row in it.  The operator holds the splits fixed while it runs, and every
-pass checks that it sees the rows that the first one saw.
+pass checks that each partition has the rows and bytes that the first one saw.
 """
 
 from __future__ import annotations
@@ -43,12 +43,15 @@ from quernstone.llm.shingles import ODD, mix
 from quernstone.llm.suffix import permuted_prefixes, suffix_array
 
 GRAM = 24
-#: Bytes of text whose anchors travel together.
-CHUNK = 512 << 10
+#: Bytes of text whose anchors travel together, and the most that these grow to so that there are no more than ``MOST_CHUNKS``:
+#: an anchor that all chunks have brings nine bytes from each to its bucket.
+CHUNK, LARGEST_CHUNK, MOST_CHUNKS = 512 << 10, 8 << 20, 1 << 24
 #: Occurrences of an anchor, about, from which its windows are dealt one by one: their segments would be a third of a shard.
 HOT = 16_384
 #: Bytes of anchors in a bucket, and of segments in a shard, aimed at.
-BUCKET_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
+BUCKET_BYTES, SHARD_BYTES = 3 << 20, 4 << 20
+#: Folders by which a pass finds what an earlier one has for its partition; beyond it they hold several partitions, sorted.
+MOST_FOLDERS = 4096
 
 
 def _words_at(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
@@ -102,24 +105,18 @@ class Chunk:
     def docs(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of hash of the windows that start at the positions."""
-        a = np.full(len(at), 11, np.uint64)
-        b = np.full(len(at), 23, np.uint64)
-        for o in [*range(0, self.length - 7, 8), self.length - 8]:
-            x = _words_at(self.raw, at + o)
-            a = mix(a * ODD[0] + x)
-            b = mix((b ^ x) * ODD[2] + ODD[4])
-        return a.view(np.int64), b.view(np.int64)
-
 
 def _read(folder: str, part: int) -> pa.Table | None:
     """What an earlier pass wrote for a partition of the scan."""
     fs, root = open_folder(folder)
     from pyarrow.fs import FileSelector
 
-    found = [x.path for x in fs.get_file_info(FileSelector(f"{root}/part={part}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in found]) if found else None
+    step = int(folder.rsplit("-by-", 1)[1])
+    found = [x.path for x in fs.get_file_info(FileSelector(f"{root}/parts={part // step}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    if not found:
+        return None
+    own = [("part", "=", part)]
+    return pa.concat_tables([pq.read_table(f, filesystem=fs, filters=own, partitioning=None) for f in found])
 
 
 def _place() -> int:
@@ -134,17 +131,30 @@ def _encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], copies: str, length: int) -> Iterator[Chunk]:
+class Copies:
+    """What the first pass found of a partition: rows that are copies, how many rows there are and their bytes."""
+
+    def __init__(self, folder: str, part: int):
+        found = _read(folder, part)
+        row, size = (found.column(c).to_numpy() if found is not None else np.zeros(0, np.int64) for c in ("row", "size"))
+        self.rows = set(row[row >= 0].tolist())
+        self.total = int((-1 - row[row < 0]).sum()), int(size[row < 0].sum())
+
+    def check(self, rows: int, size: int) -> None:
+        if self.total != (rows, size):
+            raise RuntimeError("the input changed between two passes")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], copies: str, length: int, chunk: int) -> Iterator[Chunk]:
     """The texts that may hold or give repeats, in chunks that depend on the rows alone."""
-    done = _read(copies, _place())
-    skip = set(done.column("row").to_pylist()) if done is not None else set()
-    row, rows, ids, texts, size = 0, [], [], [], 0
+    done = Copies(copies, _place())
+    row, seen, rows, ids, texts, size = 0, 0, [], [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             for i, t in zip(part.column(0).to_pylist(), _encoded(part)):
-                if i is not None and len(t) >= length and row not in skip:
-                    if size and size + len(t) > CHUNK:
+                if i is not None and len(t) >= length and row not in done.rows:
+                    if size and size + len(t) > chunk:
                         yield Chunk(rows, ids, texts, length)
                         rows, ids, texts, size = [], [], [], 0
                     rows.append(row)
@@ -152,6 +162,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], copies: str, length: int) -> Iter
                     texts.append(t)
                     size += len(t)
                 row += 1
+                seen += len(t)
+    done.check(row, seen)
     if texts:
         yield Chunk(rows, ids, texts, length)
 
@@ -172,12 +184,12 @@ def _identities(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "part long, row long, id long, k1 long, k2 long, size long")
 
 
-def _anchors(texts: DataFrame, copies: str, length: int, buckets: int) -> DataFrame:
+def _anchors(texts: DataFrame, copies: str, length: int, buckets: int, chunk_bytes: int) -> DataFrame:
     """Each chunk's different anchors by bucket: 48 bits of key with 16 of rank, and a byte for how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _place()
-        for number, chunk in enumerate(_chunks(batches, copies, length)):
+        for number, chunk in enumerate(_chunks(batches, copies, length, chunk_bytes)):
             key, inverse, times = np.unique(chunk.key, return_inverse=True, return_counts=True)
             docs = chunk.docs(chunk.first)
             low_doc, high_doc = np.full(len(key), len(chunk.ids)), np.full(len(key), -1)
@@ -239,17 +251,17 @@ def _recurring(table: pa.Table) -> pa.Table:
 
 #: Neighbouring windows of a hot anchor that are dealt as one block.
 BLOCK = 8
-SEGMENTS = "k1 long, k2 long, id long, part long, row long, at long, bytes binary, places binary, windows binary"
+SEGMENTS = "k1 long, id long, part long, row long, at long, bytes binary, places binary"
 
 
-def _segments(texts: DataFrame, copies: str, recurring: str, length: int) -> DataFrame:
-    """For each recurring anchor its bytes; for each different block of a document's hot ones its places and the hashes of its windows."""
+def _segments(texts: DataFrame, copies: str, recurring: str, length: int, chunk_bytes: int) -> DataFrame:
+    """For each recurring anchor its bytes; for each different block of a document's hot ones its bytes and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _place()
         found = _read(recurring, part)
         numbers = found.column("chunk").to_numpy() if found is not None else np.zeros(0, np.int64)
-        for number, chunk in enumerate(_chunks(batches, copies, length)):
+        for number, chunk in enumerate(_chunks(batches, copies, length, chunk_bytes)):
             mine = found.take(pa.array(np.flatnonzero(numbers == number))) if found is not None else None
             if mine is None or not mine.num_rows:
                 continue
@@ -272,59 +284,52 @@ def _segments(texts: DataFrame, copies: str, recurring: str, length: int) -> Dat
                 doc = chunk.docs(first)
                 pieces = [raw[x:y] for x, y in zip(first.tolist(), last.tolist())]
                 key = chunk.key[some].view(np.int64)
-                yield _segment_rows(key, np.zeros(len(some), np.int64), chunk.ids[doc], part, chunk.rows[doc], first - chunk.starts[doc], pieces, [None] * len(some), [None] * len(some))
+                yield _segment_rows(key, chunk.ids[doc], part, chunk.rows[doc], first - chunk.starts[doc], pieces, [None] * len(some))
             warm = at[hot]
             for a in range(0, len(warm), 30_000):
-                yield from _blocks(chunk, warm[a : a + 30_000], part)
+                yield from _blocks(chunk, warm[a : a + 30_000], part, raw)
 
     return texts.mapInArrow(run, SEGMENTS)
 
 
-def _blocks(chunk: Chunk, warm: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-    """The windows of hot anchors in blocks that lie alike around the anchor; a block that a document repeats makes one row.
-
-    The first and the last window of a block cover it, so their hashes tell it.
-    """
+def _blocks(chunk: Chunk, warm: np.ndarray, part: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+    """The windows of hot anchors in blocks that lie alike around the anchor; a block that a document repeats makes one row."""
     spot, first, last = chunk.spot[warm], chunk.first[warm], chunk.last[warm]
     low, high = (spot - last) // BLOCK, (spot - first) // BLOCK
     count = high - low + 1
     which = np.repeat(np.arange(len(warm)), count)
     j = low[which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.maximum(spot[which] - BLOCK * j - BLOCK + 1, first[which])
-    n = np.minimum(spot[which] - BLOCK * j, last[which]) - start + 1
-    ends = np.cumsum(n)
-    at = np.repeat(start - ends + n, n) + np.arange(ends[-1])
-    hashes = np.column_stack(chunk.windows(at)).astype("<i8")
-    head, tail = hashes[ends - n].view(np.uint64), hashes[ends - 1].view(np.uint64)
-    k1 = mix(head[:, 0] * ODD[0] + tail[:, 0] * ODD[1] + n.astype(np.uint64)).view(np.int64)
-    k2 = mix(head[:, 1] * ODD[2] + tail[:, 1] * ODD[3] + n.astype(np.uint64)).view(np.int64)
+    stop = np.minimum(spot[which] - BLOCK * j, last[which]) + chunk.length
     doc = chunk.docs(start)
-    order = np.lexsort((start, k2, k1, doc))
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0))))
-    inside = (start - chunk.starts[doc])[order].astype("<i4")
-    stops = np.append(new[1:], len(order))
-    for a in range(0, len(new), 20_000):
-        some = order[new[a : a + 20_000]]
-        places = [inside[x:y].tobytes() for x, y in zip(new[a : a + 20_000].tolist(), stops[a : a + 20_000].tolist())]
-        windows = [hashes[x:y].tobytes() for x, y in zip((ends - n)[some].tolist(), ends[some].tolist())]
-        yield _segment_rows(k1[some], k2[some], chunk.ids[doc[some]], part, chunk.rows[doc[some]], n[some], [None] * len(some), places, windows)
-
-
-def _single_windows(blocks: DataFrame) -> DataFrame:
-    """Blocks as their windows: ``w1, w2, id, part, row, at`` (from the block's start) and ``places``."""
+    inside = start - chunk.starts[doc]
+    blocks: dict[tuple[int, bytes], list[int]] = {}
+    for d, a, b, at in zip(doc.tolist(), start.tolist(), stop.tolist(), inside.tolist()):
+        blocks.setdefault((d, raw[a:b]), []).append(at)
+    keys = list(blocks)
+    for a in range(0, len(keys), 20_000):
+        some = keys[a : a + 20_000]
+        of = np.array([d for d, _ in some], np.int64)
+        pieces = [x for _, x in some]
+        places = [np.sort(np.array(blocks[k], "<i4")).tobytes() for k in some]
+        yield _segment_rows(np.zeros(len(some), np.int64), chunk.ids[of], part, chunk.rows[of], np.zeros(len(some), np.int64), pieces, places)
+
+
+def _single_windows(blocks: DataFrame, length: int) -> DataFrame:
+    """Blocks as their windows: ``window, id, part, row, at`` (from the block's start) and ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(4).to_pylist()
-            n = np.array([len(x) // 16 for x in raw], np.int64)
-            hashes = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
-            of = np.repeat(np.arange(len(n)), n)
-            take = pa.array(of)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            columns = [pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)] + [batch.column(k).take(take) for k in (0, 1, 2)] + [pa.array(at), batch.column(3).take(take)]
-            yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "id", "part", "row", "at", "places"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                raw = part.column(4).to_pylist()
+                n = np.array([len(x) - length + 1 for x in raw], np.int64)
+                take = pa.array(np.repeat(np.arange(len(n)), n))
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found = pa.array([x[k : k + length] for x in raw for k in range(len(x) - length + 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([found, *(part.column(k).take(take) for k in (0, 1, 2)), pa.array(at), part.column(3).take(take)], ["window", "id", "part", "row", "at", "places"])
 
-    return blocks.select("id", "part", "row", "places", "windows").mapInArrow(run, "w1 long, w2 long, id long, part long, row long, at long, places binary")
+    return blocks.select("id", "part", "row", "places", "bytes").mapInArrow(run, "window binary, id long, part long, row long, at long, places binary")
 
 
 def _runs(later: DataFrame) -> DataFrame:
@@ -353,19 +358,19 @@ def _hot_runs(hot: DataFrame, length: int) -> DataFrame:
     block, since else a still smaller one would have the block.
     """
 
-    def earliest(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        found = df.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("latest")).where("latest > first")
-        return written(found.select(*keys, "first"), name)
+    def earliest(df: DataFrame, key: str, name: str) -> DataFrame:
+        found = df.groupBy(key).agg(F.min("id").alias("first"), F.max("id").alias("latest")).where("latest > first")
+        return written(found.select(key, "first"), name)
 
-    known = hot.join(earliest(hot, ["k1", "k2"], "earliest-blocks"), ["k1", "k2"], "left")
-    whole = known.where("id > first").select("part", "row", "places", F.lit(0).cast("long").alias("shift"), (F.col("at") + length - 1).alias("size"))
-    single = written(_single_windows(known.where("first IS NULL OR id = first")), "windows")
-    found = single.join(earliest(single, ["w1", "w2"], "earliest-windows"), ["w1", "w2"]).where("id > first")
+    known = hot.join(earliest(hot, "bytes", "earliest-blocks"), "bytes", "left")
+    whole = known.where("id > first").select("part", "row", "places", F.lit(0).cast("long").alias("shift"), F.octet_length("bytes").cast("long").alias("size"))
+    single = written(_single_windows(known.where("first IS NULL OR id = first"), length), "windows")
+    found = single.join(earliest(single, "window", "earliest-windows"), "window").where("id > first")
     return _runs(whole.union(found.select("part", "row", "places", F.col("at").alias("shift"), F.lit(length).cast("long").alias("size"))))
 
 
-def _segment_rows(k1, k2, ids, part, rows, at, pieces, places, windows) -> pa.RecordBatch:
-    arrays = [pa.array(k1), pa.array(k2), pa.array(ids), pa.array(np.full(len(ids), part)), pa.array(rows), pa.array(at), *(pa.array(x, pa.binary()) for x in (pieces, places, windows))]
+def _segment_rows(k1, ids, part, rows, at, pieces, places) -> pa.RecordBatch:
+    arrays = [pa.array(k1), pa.array(ids), pa.array(np.full(len(ids), part)), pa.array(rows), pa.array(at), pa.array(pieces, pa.binary()), pa.array(places, pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SEGMENTS.split(", ")])
 
 
@@ -431,9 +436,8 @@ def _shard(length: int):
 
 def _results(texts: DataFrame, copies: str, removed: str, length: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = _place(), 0
-        done = _read(copies, part)
-        whole = set(done.column("row").to_pylist()) if done is not None else set()
+        part, number, seen = _place(), 0, 0
+        done = Copies(copies, part)
         cut = _read(removed, part)
         if cut is not None:
             rows, start, stop = (cut.column(c).to_numpy() for c in ("row", "start", "stop"))
@@ -448,7 +452,7 @@ def _results(texts: DataFrame, copies: str, removed: str, length: int, with_text
                 valid = some.column(1).is_valid().to_pylist()
                 for k, text in enumerate(_encoded(some)):
                     a, b = np.searchsorted(rows, [number, number + 1])
-                    if number in whole:
+                    if number in done.rows:
                         runs = [(0, len(text))]
                     elif a == b:
                         runs = []
@@ -465,8 +469,10 @@ def _results(texts: DataFrame, copies: str, removed: str, length: int, with_text
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     out["text"].append(kept.decode("utf-8", "ignore") if with_text and valid[k] else None)
                     number += 1
+                    seen += len(text)
                 arrays = [some.column(0), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), *([pa.array(out["text"], pa.string())] if with_text else [])]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else [])])
+        done.check(number, seen)
 
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
 
@@ -485,10 +491,12 @@ def _settings(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _by_part(df: DataFrame, name: str) -> str:
-    """Write a folder for each partition of the scan; its path."""
-    path = new_path(df.sparkSession, name)
-    df.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
+def _by_part(df: DataFrame, name: str, parts: int) -> str:
+    """Write what ``_read`` finds by the scan's partition; the path."""
+    step = max(1, -(-parts // MOST_FOLDERS))
+    path = f"{new_path(df.sparkSession, name)}-by-{step}"
+    kept = df.withColumn("parts", F.floor(F.col("part") / step)).repartition("parts").sortWithinPartitions("parts", "part")
+    kept.write.option("compression", "zstd").partitionBy("parts").parquet(path)
     return path
 
 
@@ -511,21 +519,26 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, with_text: bool =
     texts = texts if stored else written(texts, "texts")
     with _settings(spark):
         same = written(_identities(texts), "identities")
-        total = same.agg(F.sum("size")).first()[0] or 0
+        total, last = same.agg(F.sum("size"), F.max("part")).first()
+        total, parts = total or 0, (last or 0) + 1
         known = same.where(f"id IS NOT NULL AND size >= {length}")
         # Written, as the tables of smallest ids are below, so that hot keys of the joins are split.
         repeated = written(known.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k1", "k2", "first"), "repeated")
-        copies = _by_part(known.join(repeated, ["k1", "k2"]).where("id > first").select("part", "row"), "copies")
+        of_parts = same.groupBy("part").agg((-1 - F.count(F.lit(1))).alias("row"), F.sum("size").alias("size"))
+        copies = _by_part(known.join(repeated, ["k1", "k2"]).where("id > first").select("part", "row", F.lit(0).cast("long").alias("size")).union(of_parts), "copies", parts)
 
+        chunk = min(LARGEST_CHUNK, max(CHUNK, total // MOST_CHUNKS))
         buckets = int(max(8, total // (2 * BUCKET_BYTES)))  # an anchor takes 8 bytes for 16 of text, about
-        dealt = _anchors(texts, copies, length, buckets).groupBy("bucket")
-        recurring = _by_part(dealt.applyInArrow(_recurring, "part long, chunk long, count long, places binary, hot binary"), "recurring")
-
-        segments = written(_segments(texts, copies, recurring, length), "segments")
-        cool, hot = segments.where("bytes IS NOT NULL"), segments.where("bytes IS NULL")
-        shards = max(1, -(-(cool.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // SHARD_BYTES))
-        runs = cool.withColumn("shard", F.pmod(F.xxhash64("k1"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(length), "part long, row long, start long, stop long")
-        removed = _by_part(runs.union(_hot_runs(hot, length)), "removed")
+        dealt = _anchors(texts, copies, length, buckets, chunk).repartition(buckets, "bucket").groupBy("bucket")
+        recurring = _by_part(dealt.applyInArrow(_recurring, "part long, chunk long, count long, places binary, hot binary"), "recurring", parts)
+
+        segments = written(_segments(texts, copies, recurring, length, chunk), "segments")
+        cool, hot = segments.where("places IS NULL"), segments.where("places IS NOT NULL")
+        shards = int(max(1, -(-(cool.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // SHARD_BYTES)))
+        # By ranges, so that each task has one shard.
+        sharded = cool.withColumn("shard", F.pmod(F.xxhash64("k1"), F.lit(shards))).repartitionByRange(shards, "shard")
+        runs = sharded.groupBy("shard").applyInArrow(_shard(length), "part long, row long, start long, stop long")
+        removed = _by_part(runs.union(_hot_runs(hot, length)), "removed", parts)
         results = written(_results(texts, copies, removed, length, with_text), "results")
         for table in (same, repeated, segments):
             dropped(table)
