@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.shared import written
 
-LOW = (1 << 64) - 1
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit keys (the finalizer of splitmix64)."""
@@ -58,10 +56,10 @@ class Lines:
         lines = text.encode("utf-8", "surrogatepass").split(b"\n")
         self.words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
         self.at = np.flatnonzero(self.words)
-        whole = [xxhash.xxh3_128_intdigest(lines[i].strip()) for i in self.at]
-        self.keys = np.fromiter((h >> 64 for h in whole), np.uint64, len(whole))
-        self.woven = np.zeros(2 * len(whole), np.uint64)
-        self.woven[::2] = np.fromiter((h & LOW for h in whole), np.uint64, len(whole))
+        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(lines[i].strip()) for i in self.at.tolist()]), ">u8").astype(np.uint64)
+        self.keys = hashes[::2].copy()
+        self.woven = np.zeros(len(hashes), np.uint64)
+        self.woven[::2] = hashes[1::2]
         self.woven[1:-1:2] = np.diff(self.at)
         self.raw = self.woven.tobytes()
 
@@ -70,28 +68,35 @@ class Lines:
         return self.raw[16 * i : 16 * j + 8]
 
 
-def windows(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Key, first line, end and core of the shortest runs of ``min_words`` words from each line onwards and backwards.
+def windows(lines: Lines, min_words: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Text, key, first line, end and core of the shortest runs of ``min_words`` words from each line onwards and backwards.
 
-    Equal runs have equal keys.  Work is linear in the text.
+    Equal runs have equal keys.  ``ends``: where each of several texts, joined
+    by line feeds, ends; no run reaches into another.  Work is linear.
     """
     import xxhash
 
-    at, n_lines = lines.at, len(lines.words)
+    at = lines.at
+    ends = np.array([len(lines.words)]) if ends is None else ends
+    starts = np.concatenate([[0], ends[:-1]])
+    of = np.searchsorted(ends, at, "right")
+    low, high = np.searchsorted(of, of, "left"), np.searchsorted(of, of, "right")  # the text's lines with words
+    place = np.arange(len(at))
     total = np.concatenate([[0], np.cumsum(lines.words[at])])
     # Each line's last, by its shortest run onwards, and the first of the shortest run backwards.
     last = np.searchsorted(total, total[:-1] + min_words) - 1
     first = np.searchsorted(total, total[1:] - min_words, "right") - 1
-    onwards = np.flatnonzero(last < len(at))
-    backwards = np.flatnonzero(first >= 0)
+    onwards = np.flatnonzero(last < high)
+    backwards = np.flatnonzero(first >= low)
     woven = lines.woven.copy()
     woven[::2] = lines.keys
     raw = woven.tobytes()
 
     def keys(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = lines.keys[i]
-        for n in np.flatnonzero(i < j).tolist():
-            out[n] = xxhash.xxh3_64_intdigest(raw[16 * i[n] : 16 * j[n] + 8])
+        several = np.flatnonzero(i < j)
+        cuts = zip((16 * i[several]).tolist(), (16 * j[several] + 8).tolist())
+        out[several] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in cuts), np.uint64, len(several))
         return out
 
     one, two = keys(onwards, last[onwards]), keys(first[backwards], backwards)
@@ -99,16 +104,19 @@ def windows(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     found = [(one, onwards, last[onwards], at[onwards], at[last[onwards]] + 1), (two[own], first[backwards][own], backwards[own], at[first[backwards]][own], at[backwards][own] + 1)]
     # Lines without words before a run onwards and after one backwards: its key and their number.
     step = np.uint64(0x9E3779B97F4A7C15)
-    before = np.diff(at, prepend=-1)[onwards] - 1
+    above = np.where(place == low, starts[of] - 1, np.concatenate([[0], at])[:-1])
+    below = np.where(place == high - 1, ends[of], np.append(at, 0)[1:])
+    before, after = (at - above - 1)[onwards], (below - at - 1)[backwards]
     n = np.arange(before.sum()) - np.repeat(np.cumsum(before) - before, before) + 1
     i = np.repeat(onwards, before)
     found.append((_mixed(np.repeat(one, before) + n.astype(np.uint64) * step), i, last[i], at[i] - n, at[last[i]] + 1))
-    after = np.diff(at, append=n_lines)[backwards] - 1
     n = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + 1
     j = np.repeat(backwards, after)
     found.append((_mixed(np.repeat(two, after) - n.astype(np.uint64) * step), first[j], j, at[first[j]], at[j] + 1 + n))
     key, i, j, start, stop = map(np.concatenate, zip(*found))
-    return key, start, stop, [lines.core(a, b) for a, b in zip(i.tolist(), j.tolist())]
+    text = of[i]
+    cores = [lines.raw[a:b] for a, b in zip((16 * i).tolist(), (16 * j + 8).tolist())]
+    return text, key, start - starts[text], stop - starts[text], cores
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,6 +217,8 @@ def aligned(later: Lines, shared: list[tuple[int, int, int, bytes]], min_words:
     return out + verified
 
 
+#: Texts that are read together, and their bytes; a longer one is read alone.
+TEXTS, BYTES = 256, 4 << 20
 HELD = "h long, id long, k long, start int, stop int, core binary"
 
 
@@ -217,13 +227,18 @@ def _windows(documents: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [windows(Lines(t.as_py()), min_words) for t in part.column(2)]
-                take = pa.array(np.repeat(np.arange(len(got)), [len(h) for h, *_ in got]))
-                h, start, stop = (np.concatenate(x) for x in list(zip(*got))[:3])
-                cores = pa.array([c for g in got for c in g[3]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), cores], [c.split()[0] for c in HELD.split(", ")])
+            reach = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = reach[at - 1] if at else 0
+                n = max(1, min(TEXTS, int(np.searchsorted(reach, before + BYTES, "right")) - at))
+                part = batch.slice(at, n)
+                at += n
+                texts = part.column(2).to_pylist()
+                ends = np.cumsum([t.count("\n") + 1 for t in texts])
+                text, h, start, stop, cores = windows(Lines("\n".join(texts)), min_words, ends)
+                take = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(cores, pa.binary())], [c.split()[0] for c in HELD.split(", ")])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     return texts.mapInArrow(run, HELD)
