@@ -3,17 +3,26 @@
 Spark picks the algorithm: broadcast where a side's measured size allows it,
 else sort-merge, with skewed partitions split at run time.  Key columns of
 different kinds are an error, NULL keys never match.
+
+Where both sides have many rows a key, the work is in the rows that come out,
+and neither a side's bytes nor its files tell how many those are.  ``many``
+gathers the left rows of a key in blocks, sends each block to every slice of
+the key, and deals the right rows out by slices: tasks are even whatever the
+keys and files are, and a block is written out in one loop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.errors import EngineError
 from quernstone.functions.expressions import Name, find_field, kind_of
 from quernstone.functions.types import literal_for
 
+#: Rows of a block, as a power of two, and slices of a key.
+BLOCK_BITS, SLICES = 10, 32
+
 HOW = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full"}
 
 
@@ -35,10 +44,33 @@ def resolve_keys(first: Name, second: Name, left: str, right: str) -> tuple[str,
     return (second.column, first.column) if a == "r" or b == "l" else (first.column, second.column)
 
 
-def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "INNER", *, names: tuple[str, str] = ("l", "r"), separator: str = ".") -> DataFrame:
+def _blocks(df: DataFrame, key: str) -> DataFrame:
+    """The rows of each key in arrays of bounded length; they are numbered in the order of all columns, so a repeated task makes equal blocks."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    at = F.col(f"`{key}`")
+    number = F.row_number().over(Window.partitionBy(at).orderBy(*cols))
+    numbered = df.where(at.isNotNull()).select(at.alias("_key"), F.shiftright(number - 1, BLOCK_BITS).alias("_block"), F.struct(*cols).alias("_rows"))
+    return numbered.groupBy("_key", "_block").agg(F.collect_list("_rows").alias("_rows")).drop("_block")
+
+
+def _join_many(x: DataFrame, y: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Inner join: a row of ``y`` is in one slice by a hash of its columns, a block of ``x`` in all slices of its key."""
+    spark = x.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    key = F.col(f"`{right_key}`")
+    kind = x.select(F.col(f"`{left_key}`")).union(y.select(key)).schema[0].dataType  # both keys are dealt by one type
+    blocks = _blocks(x, left_key).select(F.col("_key").cast(kind).alias("_key"), "_rows", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
+    rows = y.where(key.isNotNull()).select("*", key.cast(kind).alias("_at"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in y.columns]), F.lit(SLICES)).cast("int").alias("_part"))
+    met = rows.repartition(tasks, "_at", "_part").join(blocks.repartition(tasks, "_key", "_slice").hint("merge"), (F.col("_at") == F.col("_key")) & (F.col("_part") == F.col("_slice")))
+    theirs = [F.col(f"`{c}`") for c in y.columns]
+    return met.select(*theirs, F.inline("_rows")).select(*[F.col(f"`{c}`") for c in x.columns], *theirs)
+
+
+def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "INNER", *, names: tuple[str, str] = ("l", "r"), separator: str = ".", many: bool = False) -> DataFrame:
     """Join on equality; columns are named ``table.column`` in the order left, right.
 
     A table joined with itself takes the name ``table_2`` on its right side.
+    ``many`` is for inner joins by keys that have many rows on both sides; the smaller table goes left.
     """
     if how.upper() not in HOW:
         raise EngineError(f"unknown join {how}")
@@ -50,6 +82,8 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
         raise EngineError(f"can't join {lk.dataType.simpleString()} with {rk.dataType.simpleString()}")
     x = left.select(*[F.col(f"`{c}`").alias(f"{a}{separator}{c}") for c in left.columns])
     y = right.select(*[F.col(f"`{c}`").alias(f"{b}{separator}{c}") for c in right.columns])
+    if many and how.upper() == "INNER":
+        return _join_many(x, y, f"{a}{separator}{lk.name}", f"{b}{separator}{rk.name}")
     return x.join(y, F.col(f"`{a}{separator}{lk.name}`") == F.col(f"`{b}{separator}{rk.name}`"), HOW[how.upper()])
 
 

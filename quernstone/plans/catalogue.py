@@ -63,8 +63,8 @@ _add("cmp_float", _on("customer", lambda t: scans.where(t, Binary(">=", Name("c_
 
 
 # joins
-def _join(left: str, right: str, left_key: str, right_key: str, how: str) -> Query:
-    return lambda spark, sf_dir: joins.join(external(spark, sf_dir, left), external(spark, sf_dir, right), left_key, right_key, how, names=(left, right), separator="_")
+def _join(left: str, right: str, left_key: str, right_key: str, how: str, many: bool = False) -> Query:
+    return lambda spark, sf_dir: joins.join(external(spark, sf_dir, left), external(spark, sf_dir, right), left_key, right_key, how, names=(left, right), separator="_", many=many)
 
 
 _COLUMNS = {
@@ -85,7 +85,7 @@ def _join_sql(left: str, right: str, left_key: str, right_key: str, how: str, wh
 _PN = ("part", "nation", "p_size", "n_nationkey")
 for _how in joins.HOW:
     _add(f"join_{_how.lower()}", _join(*_PN, _how), _join_sql(*_PN, _how))
-_add("join_many_to_many", _join("supplier", "customer", "s_nationkey", "c_nationkey", "INNER"), _join_sql("supplier", "customer", "s_nationkey", "c_nationkey", "INNER"))
+_add("join_many_to_many", _join("supplier", "customer", "s_nationkey", "c_nationkey", "INNER", many=True), _join_sql("supplier", "customer", "s_nationkey", "c_nationkey", "INNER"))
 _add("join_self", _join("nation", "nation", "n_regionkey", "n_regionkey", "INNER"), _join_sql("nation", "nation", "n_regionkey", "n_regionkey", "INNER"))
 _add("join_orders_lineitem_left", _join("orders", "lineitem", "o_orderkey", "l_orderkey", "LEFT"), _join_sql("orders", "lineitem", "o_orderkey", "l_orderkey", "LEFT"))
 _add("join_customer_orders", _join("customer", "orders", "c_custkey", "o_custkey", "INNER"), _join_sql("customer", "orders", "c_custkey", "o_custkey", "INNER"))
